@@ -83,7 +83,7 @@ def member_filter(keys: DataFrame, column: str, count: int) -> MemberFilter:
     words = (
         keys.filter(F.col(column).isNotNull()).select(at.alias("at"))
         .groupBy(F.shiftright("at", 6).alias("word"))
-        .agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("at").bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
     )
     found = words.toArrow()
     bits = np.zeros(max(1, (1 << log2) // 64), dtype=np.int64)
