@@ -19,8 +19,8 @@ import pyarrow.compute as pc
 PIECE = 1 << 20
 #: Longer words are hashed by BLAKE2b.
 LONG_WORD = 1 << 16
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LINE = np.zeros(256, dtype=bool)
 _LINE[0x0A] = True
 _R = 0x9E3779B97F4A7C15 | 1
@@ -120,7 +120,7 @@ def runs(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray, lower: b
 
 
 def words(texts: pa.Array, lower: bool = False) -> Runs:
-    return runs(*buffers(texts), _SPACE, lower)
+    return runs(*buffers(texts), SPACE, lower)
 
 
 def lines(data: np.ndarray, offsets: np.ndarray) -> Runs:
