@@ -1,14 +1,15 @@
 """Quality classifier: naive Bayes support vectors.
 
-Indicators of the byte n-grams of a text (2 to 4 bytes, hashed to ``2**LOG2``) are scaled by the log
+Indicators of the byte n-grams of a text (2 to 4 bytes, hashed to ``2**LOG2``), and of how often its
+word pairs repeat a word, its words differ and how many they are (in steps), are scaled by the log
 ratio of their smoothed frequencies in good and bad training texts; a linear hinge-loss model is
-fitted to the scaled, length-normalised vectors by dual coordinate descent; a logistic curve fitted
-on training rows kept from it turns margins into probabilities.
+fitted to the scaled vectors, their byte n-gram part length-normalised, by dual coordinate descent; a
+logistic curve fitted on training rows kept from it turns margins into probabilities.
 
 It learns from ``max_rows`` labelled rows at most (those of least hash of ``doc_id``) and from
 ``max_features`` indicators in all; both bounds are parameters. Every document is scored, whole.
 
-Defined results: null and empty texts have no indicators and get the score of the bias alone; with
+Defined results: null and empty texts have only the indicators of no words; with
 no labels every score is 0.5, with one class the smoothed share of it; documents with contradicting
 labels are not learned from; repeated rows are scored alike; a null ``doc_id`` is scored, never
 learned from, and not held out. Other columns are not read.
@@ -28,7 +29,34 @@ from tidemark.llm import kernel as K
 from tidemark.llm import store
 
 LOG2, ORDERS = 16, (2, 3, 4)
-MAX_ROWS, MAX_FEATURES = 8000, 12_000_000
+MAX_ROWS, MAX_FEATURES = 8000, 10_000_000
+
+
+_STEPS = np.array([0.0, 0.01, 0.03, 0.1, 0.2, 0.4, 0.6, 0.8, 0.9, 0.97])
+N_WORD = 3 * 16  # indicators about words, after those of bytes
+SIZE = (1 << LOG2) + N_WORD
+
+
+def word_indicators(texts: pa.Array) -> np.ndarray:
+    """Indices (text x 3): steps of repeated word pairs, of distinct words, and of length."""
+    w = K.words(texts)
+    n = np.diff(w.first)
+    owner = w.owner()
+    same = np.zeros(len(w.hashes), dtype=bool)
+    same[1:] = (w.hashes[1:] == w.hashes[:-1]) & (owner[1:] == owner[:-1])
+    uniq = np.unique(K.mix(w.hashes ^ K.mix(owner.astype(np.uint64))), return_index=True)[1]
+    some = np.maximum(n, 1)
+    pairs = np.searchsorted(_STEPS, K.per_text(same, w.first) / some)
+    distinct = np.searchsorted(_STEPS, np.bincount(owner[uniq], minlength=len(n)) / np.sqrt(some) / 10)
+    length = np.minimum(15, np.ceil(np.log2(n + 1)).astype(np.int64))
+    return (1 << LOG2) + np.stack([pairs, 16 + distinct, 32 + length], axis=1)
+
+
+def values(scale: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Scaled vector of a row of indices: the byte part, all but the last three, divided by the root of its size."""
+    v = scale[row]
+    v[:-3] /= max(1.0, np.sqrt(len(row) - 3))
+    return v
 
 
 def indicators(data: np.ndarray, flags: np.ndarray) -> np.ndarray:
@@ -64,7 +92,7 @@ class Model:
     def margins(self, texts: pa.Array) -> np.ndarray:
         data, offsets = K.buffers(texts)
         flags = np.zeros(1 << LOG2, dtype=bool)
-        out = np.full(len(offsets) - 1, self.bias)
+        out = self.bias + self.weights[word_indicators(texts)].sum(axis=1)
         for i, (s, e) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
             if e > s:
                 x = indicators(data[s:e], flags)
@@ -82,16 +110,16 @@ def _logistic(x: np.ndarray) -> np.ndarray:
 def dual_descent(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, cost: np.ndarray, epochs: int = 40, tol: float = 1e-3, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights on scaled indicators and bias of the L1-loss linear SVM, by dual coordinate descent.
 
-    Row i is ``scale[rows[i]] / sqrt(len(rows[i]))`` with a constant 1 for the bias.
+    Row i is ``values(scale, rows[i])`` with a constant 1 for the bias.
     """
     w, bias, alpha = np.zeros(len(scale)), 0.0, np.zeros(len(rows))
-    values = [scale[r] / max(1.0, np.sqrt(len(r))) for r in rows]
-    norm = np.array([float(v @ v) + 1.0 for v in values])
+    vectors = [values(scale, r) for r in rows]
+    norm = np.array([float(v @ v) + 1.0 for v in vectors])
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         most = 0.0
         for i in rng.permutation(len(rows)).tolist():
-            r, v = rows[i], values[i]
+            r, v = rows[i], vectors[i]
             g = y[i] * (float(w[r] @ v) + bias) - 1
             if (alpha[i] == 0 and g > 0) or (alpha[i] == cost[i] and g < 0):
                 continue
@@ -127,7 +155,7 @@ def platt(margins: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[float,
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, c: float = 1.0, alpha: float = 1.0) -> Model:
     """The model for indicator sets and 0/1 labels. Every fifth row only calibrates."""
-    zero = np.zeros(1 << LOG2)
+    zero = np.zeros(SIZE)
     pos = int(labels.sum())
     if not 0 < pos < len(labels):
         share = 0.5 if not len(labels) else (pos + 1) / (len(labels) + 2)
@@ -138,7 +166,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, c: float = 1.0, alpha: float
     counts = {}
     for k in (0, 1):
         at = np.flatnonzero(own & (labels == k))
-        counts[k] = alpha + np.bincount(np.concatenate([rows[i] for i in at]), minlength=1 << LOG2) if len(at) else np.full(1 << LOG2, alpha)
+        counts[k] = alpha + np.bincount(np.concatenate([rows[i] for i in at]), minlength=SIZE) if len(at) else np.full(SIZE, alpha)
         counts[k] = counts[k] / counts[k].sum()
     ratio = np.log(counts[1] / counts[0])
     at = np.flatnonzero(own)
@@ -146,7 +174,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, c: float = 1.0, alpha: float
     cost = np.where(y > 0, c, c * min(10.0, max(1.0, (y > 0).sum() / (y < 0).sum())))
     w, bias = dual_descent([rows[i] for i in at], y, ratio, cost)
     rest = np.flatnonzero(~own) if not own.all() else at
-    margins = np.array([bias + w[rows[i]].sum() / max(1.0, np.sqrt(len(rows[i]))) for i in rest])
+    margins = np.array([bias + values(w, rows[i]).sum() for i in rest])
     return Model(w, bias, *platt(margins, np.where(labels[rest] == 1, 1.0, -1.0)))
 
 
@@ -154,7 +182,8 @@ def _indicators(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     flags = np.zeros(1 << LOG2, dtype=bool)
     for b in K.pieces(batches):
         data, offsets = K.buffers(b.column("text"))
-        sets = [indicators(data[s:e], flags).astype(np.uint16) for s, e in zip(offsets[:-1], offsets[1:], strict=True)]
+        own = word_indicators(b.column("text")).astype(np.int32)
+        sets = [np.append(indicators(data[s:e], flags).astype(np.int32), own[i]) for i, (s, e) in enumerate(zip(offsets[:-1], offsets[1:], strict=True))]
         yield pa.RecordBatch.from_arrays([b.column("h"), b.column("doc_id"), b.column("quality"), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["h", "doc_id", "quality", "n", "grams"])
 
 
@@ -174,7 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_feat
         last = sizes.column("h")[int(np.searchsorted(total, max_features))].as_py()
         sets = sets.filter(F.col("h") < last)
     got = sets.select("h", "doc_id", "quality", "grams").toArrow().sort_by([("h", "ascending"), ("doc_id", "ascending")])
-    rows = [np.frombuffer(x, dtype=np.uint16).astype(np.int32) for x in got.column("grams").to_pylist()]
+    rows = [np.frombuffer(x, dtype=np.int32) for x in got.column("grams").to_pylist()]
     return fit(rows, got.column("quality").to_numpy())
 
 

@@ -98,6 +98,10 @@ def features(texts: pa.Array) -> Features:
     )
 
 
+def base_failed(f: Features) -> np.ndarray:
+    return (f.n_words < MIN_WORDS) | (100 * f.n_repeat_words > MAX_REPEAT_PERCENT * f.n_words)
+
+
 def vote(x: np.ndarray, good: np.ndarray, bad: np.ndarray) -> np.ndarray:
     return np.where(bad, BAD, np.where(good, GOOD, ABSTAIN)).astype(np.int64) + 0 * x.astype(np.int64)
 
@@ -221,8 +225,7 @@ SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_line
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in K.pieces(batches):
         f = features(b.column("text"))
-        failed = (f.n_words < MIN_WORDS) | (100 * f.n_repeat_words > MAX_REPEAT_PERCENT * f.n_words)
-        cols = [b.column("doc_id").cast(pa.int64()), *(pa.array(x.astype(np.int64)) for x in (f.n_words, f.word_chars, f.n_symbols, f.n_dup_lines, f.n_repeat_words)), pa.array(failed), pa.array(votes(f))]
+        cols = [b.column("doc_id").cast(pa.int64()), *(pa.array(x.astype(np.int64)) for x in (f.n_words, f.word_chars, f.n_symbols, f.n_dup_lines, f.n_repeat_words)), pa.array(base_failed(f)), pa.array(votes(f))]
         yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "votes"])
 
 
@@ -239,3 +242,20 @@ def judge(docs: DataFrame, threshold: float = KEEP_FROM) -> tuple[DataFrame, Vot
     lookup = spark.createDataFrame([(int(p), float(x)) for p, x in zip(pattern, posterior, strict=True)], "votes long, p_good double")
     out = seen.join(F.broadcast(lookup), "votes")
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold)), model
+
+
+def kept(docs: DataFrame, threshold: float = KEEP_FROM) -> DataFrame:
+    """The documents, with all their columns, that :func:`judge` keeps. Nothing is shuffled.
+
+    The votes of all rows fit the model; a second pass over the texts applies it.
+    """
+    _, model = judge(docs, threshold)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # two classes, rules, votes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in K.pieces(batches):
+            f = features(b.column("text"))
+            ok = ~base_failed(f) & (shared.value.posterior(unpack(votes(f))) >= threshold)
+            yield b.filter(pa.array(ok))
+
+    return docs.mapInArrow(run, docs.schema)

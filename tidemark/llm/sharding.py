@@ -3,8 +3,8 @@
 Documents with equal texts are linked. Every row starts in a hashed shard; then, round by round, each
 group of linked rows counts the shards of its members (its neighbours) and moves to the shard where
 most of them are and there is room, under the shards' quotas; larger groups go first, and groups that
-find no room try the remaining quotas in the next round. A group larger than any room is laid over as
-few shards as hold it. Rows without links cut no edge and fill what is left.
+find no room try the remaining quotas in the next round. A group larger than a quota is laid over as few
+shards as hold it, before the others. Rows without links cut no edge and fill what is left.
 
 Law ``rows``: the counts of shards are at most one apart, for any group sizes. All steps are joins and
 aggregates over a slim table (identity, hash, size), written to the shared folder after each round;
@@ -47,10 +47,24 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataF
     sizes = slim.filter("group is not null").groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1")
     state = store.table(slim.join(sizes, key).withColumn("shard", F.pmod(F.xxhash64("rid"), F.lit(shards)).cast("int")), "linked")
 
-    # rounds: groups choose, the quota admits, members move
+    # groups that no shard holds: at most one a shard, so they are few; each gets whole shards, then a part of one
     room = list(quota)
+    giants = sizes.filter(F.col("n") > max(quota)).orderBy(F.desc("n"), *key).collect() if total else []
+    spans = []
+    for g in giants:
+        at = 0
+        while at < g.n:
+            fit = [b for b in range(shards) if room[b] >= g.n - at]
+            b = min(fit, key=lambda b: (room[b], b)) if fit else max(range(shards), key=lambda b: (room[b], -b))
+            take = min(room[b], g.n - at)
+            spans.append((g.group, g.text_crc32, g.size, at, at + take, b))
+            room[b] -= take
+            at += take
+    pieces = F.broadcast(docs.sparkSession.createDataFrame(spans, "`group` long, text_crc32 long, size long, lo long, hi long, piece int"))  # 2 * shards rows at most
+
+    # rounds: groups choose, the quota admits, members move
     settled = None  # of groups: key, shard
-    left = store.table(state.groupBy(*key).agg(F.first("n").alias("n")), "groups")
+    left = store.table(sizes.filter(F.col("n") <= max(quota, default=0)), "groups")
     for _ in range(rounds):
         free = left.limit(1).count()
         if not free:
@@ -73,7 +87,13 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataF
 
     placed = slim.join(sizes, key, "left")
     where = settled.select(*key, "shard") if settled is not None else slim.limit(0).select(*key, F.lit(0).alias("shard"))
-    placed = store.table(placed.join(where, key, "left").withColumn("_bucket", scale.bucket(F.coalesce("group", "rid"), total)), "placed")
+    placed = placed.join(where, key, "left").withColumn("_bucket", scale.bucket(F.coalesce("group", "rid"), total))
+    if spans:
+        big = F.col("n") > max(quota)
+        split = placed.filter(big).withColumn("_part", scale.bucket(F.col("rid"), total))
+        split = scale.before(split, key, ["_part"], [F.col("rid")], F.lit(1), "_rank").join(pieces, key).filter("_rank >= lo and _rank < hi")
+        placed = placed.filter(F.coalesce(~big, F.lit(True))).unionByName(split.withColumn("shard", F.col("piece")).select(*placed.columns))
+    placed = store.table(placed, "placed")
     # the rest fills the room that is left: groups that fit nowhere whole first, each in one piece of the order
     rest = placed.filter("shard is null").drop("shard").withColumn("_single", F.col("n").isNull().cast("int"))
     rest = rest.withColumn("_bucket", F.when(F.col("_single") == 1, scale.bucket(F.col("rid"), total)).otherwise(F.col("_bucket")))
