@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,8 +97,6 @@ class ScorerUnavailable(RuntimeError):
 
 def model_score(predict: Callable[[], Callable[[list[str]], list[tuple[float, float, float]]]]) -> Callable[[Column], Column]:
     """A scorer from ``predict``, which loads a model once per worker and returns a function of a batch of texts to (positive, negative, neutral)."""
-    import pandas as pd
-
     @F.pandas_udf("positive double, negative double, neutral double")
     def shares(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         run = predict()
