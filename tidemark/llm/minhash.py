@@ -7,9 +7,9 @@
 3. In each bucket all classes are paired with the least one only (a star). Signatures are compared
    first (8 bits of each minimum, 6 standard deviations below the threshold), then the full
    shingle sets decide. Linked classes are joined to components.
-4. Only buckets that still hold several components can hide further links: there, classes of
-   different components are compared by signature, in blocks of bounded size, and again verified on
-   full sets. Pairs inside one component can't change the result and are never made.
+4. Only buckets that still hold several components can hide further links: there, the full sets are
+   compared in blocks of bounded size, inside one task each, by an incidence matrix; each block gives
+   at most as many links as it has members (a forest over components), never its pairs.
 5. Components come from alternating large-star and small-star steps.
 
 Defined results: a text without words (null, empty, blank) has the empty set, ``n_shingles`` 0 and
@@ -32,7 +32,7 @@ from tidemark.llm import graph, store, substring
 from tidemark.llm import kernel as K
 
 SHINGLE, PERCENT, BANDS, ROWS = 3, 85, 32, 6
-BLOCK = 256  # classes of a bucket compared with as many others in one task at once
+BLOCK, BLOCK_BYTES = 192, 1 << 19  # classes of a bucket, and bytes of their texts, compared with as many others at once
 _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(0, 2**32, 1024, dtype=np.uint64).astype(np.uint32)) | np.uint32(1)
 _B = _rng.integers(0, 2**32, 1024, dtype=np.uint64).astype(np.uint32)
@@ -138,28 +138,69 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) ->
     return out
 
 
-def _across(percent: int, minima: int):
-    """Pairs of one block (or of two blocks of one bucket) in different components whose sketches agree."""
-    cut = least_agreement(percent, minima)
+def similar(text: np.ndarray, found: np.ndarray, m: int, percent: int) -> np.ndarray:
+    """Which pairs of ``m`` shingle sets are similar enough (m x m), from the sets' incidence matrix."""
+    n = np.bincount(text, minlength=m)
+    _, column, times = np.unique(found, return_inverse=True, return_counts=True)
+    both = np.full((m, m), float((times == m).sum()), dtype=np.float32)
+    some = (times > 1) & (times < m)  # shared by all: counted; by none: no matter
+    number = np.cumsum(some) - 1
+    pick = some[column]
+    rows, cols = text[pick], number[column[pick]]
+    order = np.argsort(cols, kind="stable")
+    rows, cols = rows[order], cols[order]
+    for lo in range(0, int(some.sum()), 4096):
+        i, j = np.searchsorted(cols, (lo, lo + 4096))
+        part = np.zeros((m, min(4096, int(some.sum()) - lo)), dtype=np.float32)
+        part[rows[i:j], cols[i:j] - lo] = 1
+        both += part @ part.T
+    union = n[:, None] + n[None, :] - both
+    return (100 * both >= percent * union) & (both > 0)
+
+
+def _across(shingle: int, percent: int):
+    """Links that join components inside a block, or between two blocks, of one bucket: full sets decide, a forest goes out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            u, v = [], []
             for lo, hi, got in zip(*(batch.column(k).to_pylist() for k in ("lo", "hi")), batch.column("got"), strict=True):
                 x = got.values
-                rep, comp, n, block = (x.field(k).to_numpy() for k in ("rep", "comp", "n_shingles", "block"))
-                sketch = np.frombuffer(b"".join(x.field("sketch").to_pylist()), dtype=np.uint8).reshape(-1, minima)
-                left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-                a, b = [], []
-                for i in left.tolist():
-                    j = right[(comp[right] != comp[i]) & ((rep[right] > rep[i]) if lo == hi else True) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
-                    j = j[(sketch[j] == sketch[i]).mean(axis=1) >= cut] if len(j) else j
-                    a.append(np.minimum(rep[i], rep[j]))
-                    b.append(np.maximum(rep[i], rep[j]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *v])) for v in (a, b)], names=["a", "b"])
+                rep, comp, block = (x.field(k).to_numpy() for k in ("rep", "comp", "block"))
+                ok = similar(*shingle_sets(K.words(x.field("text"), lower=True), shingle), len(rep), percent)
+                ok &= (comp[:, None] != comp[None, :]) & (block == lo)[:, None] & (block == hi)[None, :]
+                root = {c: c for c in comp.tolist()}
+                for i, j in np.argwhere(ok).tolist():
+                    a, b = int(comp[i]), int(comp[j])
+                    while root[a] != a:
+                        a = root[a]
+                    while root[b] != b:
+                        b = root[b]
+                    if a != b:
+                        root[max(a, b)] = min(a, b)
+                        u.append(int(rep[i]))
+                        v.append(int(rep[j]))
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()) for k in (u, v)], names=["u", "v"])
 
     return run
 
 
+def _merged(buckets: DataFrame) -> DataFrame:
+    """Buckets (bucket, rep, comp, n) that overlap become one, where that makes fewer comparisons than all of them.
+
+    Any union of buckets holds their pairs, so the labels may be as coarse as one exchange makes them: a
+    bucket takes the least label that its members have from any of their buckets.
+    """
+    least = buckets.groupBy("bucket").agg(F.min("rep").alias("lo"))
+    member = buckets.join(least, "bucket").groupBy("rep").agg(F.min("lo").alias("lo"))
+    label = buckets.join(member, "rep").groupBy("bucket").agg(F.min("lo").alias("component"))
+    known = buckets.join(label, "bucket")
+    costs = known.groupBy("component").agg(F.count_distinct("rep").alias("m"), F.sum("n").alias("apart"))  # a bucket of n has n rows with n
+    known = known.join(costs, "component").withColumn("one", F.col("m") * F.col("m") <= F.col("apart"))
+    one = known.filter("one").select(F.lit(1).alias("kind"), F.col("component").alias("bucket"), "rep", "comp", F.col("m").alias("n")).distinct()
+    return one.unionByName(known.filter("not one").select(F.lit(0).alias("kind"), "bucket", "rep", "comp", "n"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept and class_id (least doc_id with the same shingle set) of each row."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
@@ -179,17 +220,26 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     links = _confirmed(docs, store.table(star.mapInArrow(_agree(percent, minima), "a long, b long"), "pairs"), shingle, percent)
     known = store.table(graph.components(links), "components")
 
-    # buckets whose other members still lie in several components
-    rest = members.filter("n > 2 and rep > pivot").join(known.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-    mixed = rest.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("bucket")
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    open_ = store.table(rest.join(mixed, "bucket", "left_semi").withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")), "open")
+    # buckets whose other members still lie in several components; of buckets with the same members one is enough
+    rest = members.filter("n > 2 and rep > pivot").join(known.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("comp"))
+    mixed = rest.groupBy("bucket").agg(
+        F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("n"),
+        F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("same")).filter("c0 < c1")
+    mixed = mixed.groupBy("n", "same").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
+    open_ = store.table(rest.join(mixed, "bucket"), "open")
     if open_.limit(1).count():
-        dealt = open_.join(sketches, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        blocks = dealt.groupBy("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).agg(F.collect_list(F.struct("rep", "comp", "n_shingles", "sketch", "block")).alias("got"))  # two blocks at most
-        pairs = store.table(blocks.mapInArrow(_across(percent, minima), "a long, b long").distinct(), "pairs")
-        if pairs.limit(1).count():
-            more = _confirmed(docs, pairs, shingle, percent)
+        open_ = store.table(_merged(open_), "open")
+        ids = store.table(open_.select(F.col("rep").alias("doc_id")).distinct(), "candidates")
+        texts = store.table(substring.with_text(docs, ids).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep"), "texts")
+        sized = open_.join(texts.select("rep", F.octet_length("text").alias("bytes")), "rep")
+        parts = F.ceil(F.greatest(F.col("n") / BLOCK, F.sum("bytes") / BLOCK_BYTES)).cast("int")
+        parts = sized.groupBy("kind", "bucket", "n").agg(parts.alias("parts")).select("kind", "bucket", "parts")
+        dealt = open_.join(parts, ["kind", "bucket"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(texts, "rep")
+        blocks = dealt.groupBy("kind", "bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).agg(F.collect_list(F.struct("rep", "comp", "block", "text")).alias("got"))  # two blocks at most
+        more = store.table(blocks.mapInArrow(_across(shingle, percent), "u long, v long").distinct(), "links")
+        store.drop_table(texts)
+        if more.limit(1).count():
             known = store.table(graph.components(links.unionByName(more)), "components")
 
     named = classes.select("k1", "k2", "rep").join(known.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
