@@ -7,6 +7,7 @@ import corpus_pipeline
 import pytest
 
 import __spark_entry__
+from tests.compare import compare, connect
 from tests.llm import util
 from tidemark.llm import queries
 
@@ -71,3 +72,8 @@ def test_each_row_has_its_result(spark, name):
     rows = spark.read.parquet(f"{SF}/{table}.parquet").count()
     got = out.count()
     assert got >= rows if name.startswith("op6") else got == rows
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_operators_that_sql_can_express(spark, name):
+    assert compare(spark, connect(SF), queries.QUERIES[name], queries.ORACLE_SQL[name], SF) is None
