@@ -29,9 +29,9 @@ LOG2, ORDERS = 16, (3, 4, 5)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
 _BAD_WORDS = (
-    "casino", "casino-win", "win-casino", "slots", "jackpot", "poker", "bets", "free-bets", "betting", "bet-now", "lottery",
-    "pills", "cheap-pills", "viagra", "pharma-deal", "adult", "adult-x", "xxx", "porn", "sex-chat", "escort", "nude",
-    "spam", "spam-farm", "link-farm", "seo-farm", "ads", "ads-track", "adserver", "track-click", "tracker", "popunder", "clickbait",
+    "casino", "win-casino", "slots", "jackpot", "poker", "bets", "betting", "bet-now", "lottery",
+    "pills", "viagra", "pharma-deal", "adult", "xxx", "porn", "sex-chat", "escort", "nude",
+    "spam", "link-farm", "seo-farm", "ads", "adserver", "track-click", "tracker", "popunder", "clickbait",
     "free-money", "cash-now", "quick-loan", "payday", "crypto-win", "free-gift", "prize-claim", "warez", "torrent-free", "keygen", "malware",
 )
 _GOOD_WORDS = (
