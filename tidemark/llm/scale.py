@@ -7,6 +7,8 @@ from one aggregate row per bucket.
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,9 @@ def before(df: DataFrame, by: list[str], buckets: list[str], order: list[str | C
     return out.withColumn(name, both).drop("_within", "_earlier")
 
 
-def bucket(key: Column, rows: int, target: int = 2000) -> Column:
-    """Pseudo-random bucket of about ``target`` rows of distinct keys."""
-    return F.pmod(F.xxhash64(key), F.lit(max(1, rows // target))).cast("int")
+def bucket(key: Column, rows: int) -> Column:
+    """Pseudo-random bucket of distinct keys, about as many rows in each as there are buckets (500 at least).
+
+    So a task of :func:`before` sorts about the root of ``rows``: rows of a bucket, or totals of buckets.
+    """
+    return F.pmod(F.xxhash64(key), F.lit(max(1, rows // max(500, isqrt(rows))))).cast("int")
