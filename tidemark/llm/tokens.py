@@ -36,6 +36,7 @@ from tidemark.llm import store
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LENGTH, SHARD_ROWS, KEY = 512, 4096, 20240229
+SHARDS_A_TASK, MAX_TASKS = 4, 20_000  # consecutive shards that a task writes; more of them where tasks would be too many
 CACHE = 400_000  # pieces of text kept per task
 SEQUENCES = "part int, idx long, doc_id long, piece int, n_tokens int, ids binary"
 _WHITE = K.SPACE.copy()
@@ -190,7 +191,9 @@ def materialise(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LEN
             yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(slot // shard_rows), pa.array(slot % shard_rows * stride), *(b.column(k) for k in ("doc_id", "piece", "n_tokens", "ids"))], names=["slot", "shard", "byte_offset", "doc_id", "piece", "n_tokens", "ids"])
 
     out = cut.mapInArrow(place, "slot long, shard long, byte_offset long, doc_id long, piece int, n_tokens int, ids binary")
-    return out.repartition("shard").sortWithinPartitions("slot")
+    shards = -(-total // shard_rows)
+    each = max(-(-shards // MAX_TASKS), SHARDS_A_TASK)
+    return out.repartitionById(max(1, -(-shards // each)), F.expr(f"cast(shard div {each} as int)")).sortWithinPartitions("slot")
 
 
 def records(ids: list[bytes], length: int, end: int) -> list[bytes]:
