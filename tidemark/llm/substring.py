@@ -145,7 +145,7 @@ def hits(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataF
     keys = edge.mapInArrow(_owned_keys, "key long")
     few = spark.sparkContext.broadcast(store.member_filter(keys, "key", edge.count()))
     single = store.table(docs.filter(F.col("doc_id").isNotNull()).mapInArrow(_single_windows(few, window, gram), "w long, doc_id long, pos int"), "windows")
-    least = single.groupBy("w").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("w", "lo")
+    least = store.table(single.groupBy("w").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("w", "lo"), "least")
     loose = single.join(least, "w").filter("lo < doc_id").select("doc_id", "pos", F.lit(window).alias("n_words"), F.col("lo").alias("ref_doc_id"))
     return parsed, held.unionByName(loose)
 
