@@ -44,8 +44,10 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataF
     total = slim.count()
     quota = [total // shards + (b < total % shards) for b in range(shards)]
     key = ["group", "text_crc32", "size"]
-    sizes = slim.filter("group is not null").groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1")
-    state = store.table(slim.join(sizes, key).withColumn("shard", F.pmod(F.xxhash64("rid"), F.lit(shards)).cast("int")), "linked")
+    # members of each group by their first shard: at most ``shards`` rows a group, however many copies
+    state = slim.filter("group is not null").groupBy(*key, F.pmod(F.xxhash64("rid"), F.lit(shards)).cast("int").alias("shard")).agg(F.count("*").alias("here"))
+    state = store.table(state, "linked")
+    sizes = store.table(state.groupBy(*key).agg(F.sum("here").alias("n")).filter("n > 1"), "sizes")
 
     # groups that no shard holds: at most one a shard, so they are few; each gets whole shards, then a part of one
     room = list(quota)
@@ -69,7 +71,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataF
         free = left.limit(1).count()
         if not free:
             break
-        near = state.join(left.select(*key), key, "left_semi").groupBy(*key, "n", "shard").agg(F.count("*").alias("here"))
+        near = state.join(left, key)
         fits = near.withColumn("room", _at(room, "shard")).filter("room >= n")
         spare = max(range(shards), key=lambda b: (room[b], -b))
         want = left.join(fits.groupBy(*key).agg(F.max_by("shard", F.struct("here", "room", "shard")).alias("shard")), key, "left")
@@ -85,9 +87,9 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataF
         settled = got if settled is None else settled.unionByName(got)
         left = store.table(left.join(got.select(*key), key, "left_anti"), "groups")
 
-    placed = slim.join(sizes, key, "left")
     where = settled.select(*key, "shard") if settled is not None else slim.limit(0).select(*key, F.lit(0).alias("shard"))
-    placed = placed.join(where, key, "left").withColumn("_bucket", scale.bucket(F.coalesce("group", "rid"), total))
+    where = store.table(sizes.join(where, key, "left"), "where")
+    placed = slim.join(where, key, "left").withColumn("_bucket", scale.bucket(F.coalesce("group", "rid"), total))
     if spans:
         big = F.col("n") > max(quota)
         split = placed.filter(big).withColumn("_part", scale.bucket(F.col("rid"), total))
