@@ -109,7 +109,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataF
         pick = F.when(F.col("_rank") < ends[b], F.lit(b)).otherwise(pick)
     cols = ["doc_id", "size", "text_crc32", "group", "rid", "shard"]
     both = placed.filter("shard is not null").select(*cols).unionByName(filled.withColumn("shard", pick).select(*cols))
-    both = both.withColumn("_bucket", scale.bucket(F.col("rid"), total))
+    both = both.withColumn("_bucket", scale.bucket(F.struct(F.lit(1), "rid"), total))  # other buckets than those that chose the shards
     out = scale.before(both, ["shard"], ["_bucket"], [F.col("rid")], F.lit(1), "slot")
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"),
