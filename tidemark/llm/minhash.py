@@ -191,12 +191,14 @@ def _merged(buckets: DataFrame) -> DataFrame:
     Any union of buckets holds their pairs, so the labels may be as coarse as one exchange makes them: a
     bucket takes the least label that its members have from any of their buckets.
     """
-    least = buckets.groupBy("bucket").agg(F.min("rep").alias("lo"))
+    # what is joined to the rows of a bucket is a table of one row a bucket, so that a hot bucket can be split
+    least = store.table(buckets.groupBy("bucket").agg(F.min("rep").alias("lo")), "least")
     member = buckets.join(least, "bucket").groupBy("rep").agg(F.min("lo").alias("lo"))
-    label = buckets.join(member, "rep").groupBy("bucket").agg(F.min("lo").alias("component"))
+    label = store.table(buckets.join(member, "rep").groupBy("bucket").agg(F.min("lo").alias("component"), F.first("n").alias("size")), "labels")
+    sizes = buckets.join(label, "bucket").select("component", "rep").distinct().groupBy("component").agg(F.count("*").alias("m"))
+    costs = store.table(label.groupBy("component").agg(F.sum(F.col("size") * F.col("size")).alias("apart")).join(sizes, "component"), "costs")
+    label = store.table(label.join(costs, "component").select("bucket", "component", "m", (F.col("m") * F.col("m") <= F.col("apart")).alias("one")), "labels")
     known = buckets.join(label, "bucket")
-    costs = known.groupBy("component").agg(F.count_distinct("rep").alias("m"), F.sum("n").alias("apart"))  # a bucket of n has n rows with n
-    known = known.join(costs, "component").withColumn("one", F.col("m") * F.col("m") <= F.col("apart"))
     one = known.filter("one").select(F.lit(1).alias("kind"), F.col("component").alias("bucket"), "rep", "comp", F.col("m").alias("n")).distinct()
     return one.unionByName(known.filter("not one").select(F.lit(0).alias("kind"), "bucket", "rep", "comp", "n"))
 
@@ -210,7 +212,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         signed.filter("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2")
         .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
     banded = classes.select("rep", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).filter("n > 1")
+    shared = store.table(banded.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).filter("n > 1"), "buckets")
     members = store.table(banded.join(shared, "bucket"), "members")
 
     sketches = classes.select("rep", "n_shingles", "sketch")
