@@ -140,7 +140,7 @@ def hits(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataF
     held = members.join(index, ["anchor", "block"]).filter("lo < doc_id").select("doc_id", "pos", (F.col("size") + (window - 1)).alias("n_words"), F.col("lo").alias("ref_doc_id"))
 
     # factor boundaries: anchors with blocks of different words
-    edge = index.groupBy("anchor").agg(F.count("*").alias("n"), F.min("lo").alias("a"), F.max("lo").alias("b")).filter("n > 1 and a < b").select("anchor")
+    edge = store.table(index.groupBy("anchor").agg(F.count("*").alias("n"), F.min("lo").alias("a"), F.max("lo").alias("b")).filter("n > 1 and a < b").select("anchor"), "split")
     edge = store.table(index.join(edge, "anchor", "left_semi").select("block", "lo"), "edges")
     keys = edge.mapInArrow(_owned_keys, "key long")
     few = spark.sparkContext.broadcast(store.member_filter(keys, "key", edge.count()))
