@@ -40,6 +40,47 @@ def test_mix_places_every_row(spark):
     assert mixing.mix(util.docs(spark, [])).count() == 0
 
 
+def test_phases_place_every_block_once_and_keep_weights():
+    rng = random.Random(4)
+    for n in (1, 2, 7, 40):
+        blocks = {f"s{i}": 1 + int(rng.expovariate(0.001)) for i in range(n)} | {"rare": 1}
+        weights = {k: rng.random() + 0.01 for k in blocks}
+        got, full = mixing.phases(weights, blocks, 100)
+        seen = {}
+        for k, total in blocks.items():
+            for b in range(total):
+                x = [x for x in got if k in x.first and x.first[k] <= b][-1]
+                i, w = b - x.first[k], len(x.turns[k])
+                slot = x.start + i // w * x.period + x.turns[k][i % w]
+                assert seen.setdefault(slot, (k, b)) == (k, b)
+        assert len(seen) == sum(blocks.values()) and set(range(full)) <= set(seen)
+        assert any(sum(seen[s][0] == k for s in range(full)) == total for k, total in blocks.items())
+        order = [seen[s] for s in sorted(seen)]
+        assert all([b for q, b in order if q == k] == list(range(total)) for k, total in blocks.items())
+        for x, y in zip(got, [*got[1:], None]):
+            part = Counter(seen[s][0] for s in seen if x.start <= s and (y is None or s < y.start))
+            last = [k for k in x.turns if y and k in y.turns]
+            for a in last:
+                for b in last:
+                    assert abs(part[a] / len(x.turns[a]) - part[b] / len(x.turns[b])) < 1 / len(x.turns[a]) + 1 / len(x.turns[b])
+
+
+def test_many_sources_share_a_bounded_schedule(monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_SLOTS", 300)
+    got, _ = mixing.phases({f"s{i}": 2.0**-i for i in range(20)}, {f"s{i}": 50 for i in range(20)}, 100)
+    assert sum(x.period for x in got) <= 300
+
+
+def test_a_rare_source_cuts_no_others(spark):
+    rows = [(i, "t", f"s{i % 3}") for i in range(3000)] + [(5000, "t", None)]
+    docs = util.docs(spark, rows)
+    got = mixing.mix(docs, period=200, block=4).toPandas()
+    assert len(got) == len(rows) and got.position.notna().all() and got.position.is_unique
+    assert sorted(r.doc_id for r in mixing.mixed(docs, period=200, block=4).collect()) == sorted(r[0] for r in rows)
+    rest = got[got.source.notna()].sort_values("position")
+    assert all(abs(x - 1 / 3) < 0.03 for x in rest[: len(rest) // 2].source.value_counts(normalize=True))
+
+
 def check_shards(got, rows, shards):
     count = Counter(r.shard for r in got)
     assert len(got) == len(rows) and max(count.values()) - min(count.values() if len(count) == shards else [0]) <= 1

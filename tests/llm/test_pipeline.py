@@ -55,6 +55,11 @@ def test_stages_drop_what_was_planted_and_keep_the_rest(spark, planted):
     assert sum(count.values()) == mixed.count() and max(count.values()) - min(count.values()) <= 1
 
 
+def test_mixing_keeps_all_it_is_given(spark, planted):
+    docs = spark.read.parquet(f"{planted}/documents.parquet")
+    assert dict(corpus_pipeline.STAGES)["mixing"](spark, docs, planted).count() == docs.count()
+
+
 def test_run_is_the_stages_in_order(spark, planted):
     out = corpus_pipeline.run(spark, planted)
     assert out.count() > 150 and {"doc_id", "shard", "slot"} <= set(out.columns)

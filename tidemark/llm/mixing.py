@@ -7,19 +7,28 @@ any number of slots each source's share differs from its target by less than one
 repeats every D slots: one period, D rows for any number of documents, is computed and broadcast, and
 each block finds its slot by arithmetic.
 
-``slot`` is the document's block slot and ``position`` its place in the mix; ``in_mix`` tells whether all
-sources still had blocks (a whole period holds the weights exactly; at the first slot whose source has
-run out the target mix ends). Nothing is repeated to reach a weight.
+A source that has run out leaves its slots empty, so the others go on in proportion to their weights.
+When those that left held ``EMPTY`` of a period's slots, a new phase begins: the weights of the sources
+left are made whole again and get a schedule of their own. So every document of a weighed source has a
+place. Phases are added as long as all schedules together stay within ``MAX_SLOTS`` rows; the last goes
+on to the end.
+
+``slot`` is the document's block slot, ``position`` its place in the mix (unique, with gaps), ``phase`` its
+phase and ``target`` the weight of its source in it. ``in_mix`` tells whether all sources still had blocks
+(before the first slot whose source has run out shares are the targets of all sources); it says nothing
+about being kept: :func:`mixed` keeps all that have a position. Nothing is repeated to reach a weight.
 
 Defined results: a null source is a source of its own; repeated rows take places of their own; a null
 ``doc_id`` takes a place like any other; an empty table gives no rows; a source without a target weight
-isn't in the mix (slot null); texts are never looked at, other columns pass through :func:`mix`.
+isn't in the mix (slot null, in_mix false); texts are never looked at, other columns pass through :func:`mix`.
 """
 
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left
 from collections.abc import Mapping
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +37,8 @@ from tidemark.llm import scale, store
 
 PERIOD, BLOCK, TEMPER = 1000, 16, 0.9
 MAX_SOURCES = 20_000  # a mix has a table of weights; this bounds it, and the schedule with it
+EMPTY = 1 / 8  # share of a period's slots that may be empty before a new phase begins
+MAX_SLOTS = 8 * MAX_SOURCES  # rows of the schedules of all phases
 
 
 def tempered(counts: Mapping[str, int], power: float = TEMPER) -> dict[str, float]:
@@ -67,11 +78,48 @@ def schedule(weights: Mapping[str, int]) -> list[str]:
     return out
 
 
+class Phase(NamedTuple):
+    """One stretch of the mix: first slot, slots a period, and of each source its turns and first block."""
+
+    start: int
+    period: int
+    turns: dict[str, list[int]]
+    first: dict[str, int]
+
+
+def phases(weights: Mapping[str, float], blocks: Mapping[str, int], period: int) -> tuple[list[Phase], int]:
+    """The phases that place all ``blocks`` (1 at least) of each source, and the first slot whose source has run out."""
+    out: list[Phase] = []
+    left, first, start, full, rows = dict(blocks), dict.fromkeys(blocks, 0), 0, 0, 0
+    while left:
+        size = max(period, 4 * len(left))
+        whole = whole_weights({k: weights[k] for k in left}, size)
+        turns: dict[str, list[int]] = {k: [] for k in whole}
+        for t, k in enumerate(schedule(whole)):
+            turns[k].append(t)
+        out.append(Phase(start, size, turns, {k: first[k] for k in left}))
+        rows += size
+        gone = sorted((left[k] // whole[k] * size + turns[k][left[k] % whole[k]], k) for k in left)
+        full = full or gone[0][0]
+        empty, end = 0, 0
+        for end, k in gone:  # noqa: B007
+            empty += whole[k]
+            if empty >= EMPTY * size:
+                break
+        if rows + max(period, 4 * len(left)) > MAX_SLOTS:
+            break
+        used = {k: end // size * whole[k] + bisect_left(turns[k], end % size) for k in left}
+        first = {k: first[k] + used[k] for k in left}
+        left = {k: n - used[k] for k, n in left.items() if n > used[k]}
+        start += end
+    return out, full
+
+
 def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, period: int = PERIOD, block: int = BLOCK) -> DataFrame:
-    """``docs`` with slot, position, in_mix, target (weight) and block number of each row."""
+    """``docs`` with slot, position, in_mix, target (weight), block number and phase of each row."""
     spark = docs.sparkSession
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
-    names = {"_key", "_bucket", "_rank", "_turn", "slot", "position", "in_mix", "target", "block_no"}
+    names = {"_key", "_bucket", "_rank", "_phases", "_of", "_turn", "slot", "position", "in_mix", "target", "block_no", "phase"}
     clash = [c for c in docs.columns if c in names]
     docs = docs.drop(*clash)
     found = docs.groupBy(key.alias("k")).count().limit(MAX_SOURCES + 1).collect()
@@ -81,29 +129,28 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, period: int
     chosen = tempered(counts) if weights is None else {f"={k}" if k is not None else "null": w for k, w in weights.items() if w > 0}
     chosen = {k: w for k, w in chosen.items() if k in counts}
     rows = sum(counts.values())
-    period = max(period, 4 * len(chosen))
-    whole = whole_weights(chosen, period) if chosen else {}
-    order = schedule(whole)
-    turns: dict[str, list[int]] = {k: [] for k in whole}
-    for t, k in enumerate(order):
-        turns[k].append(t)
-
-    def slot(k: str, i: int) -> int:
-        return i // whole[k] * period + turns[k][i % whole[k]]
-
-    end = min((slot(k, -(-counts[k] // block)) for k in whole), default=0)
-    table = spark.createDataFrame([(k, i, t, len(ts), len(ts) / period) for k, ts in turns.items() for i, t in enumerate(ts)], "_key string, _turn long, _at long, _w long, target double")
-    per = F.broadcast(table.filter("_turn = 0").select("_key", "_w", "target"))  # MAX_SOURCES rows at most
+    stretches, end = phases(chosen, {k: -(-counts[k] // block) for k in chosen}, period)
+    places = [(k, p, i, t) for p, x in enumerate(stretches) for k, ts in x.turns.items() for i, t in enumerate(ts)]
+    of: dict[str, list[tuple[int, int, int, int, int]]] = {k: [] for k in chosen}
+    for p, x in enumerate(stretches):
+        for k, ts in x.turns.items():
+            of[k].append((p, x.first[k], x.start, x.period, len(ts)))
+    table = spark.createDataFrame(places, "_key string, phase int, _turn long, _at long")  # MAX_SLOTS rows at most
+    per = spark.createDataFrame(list(of.items()), "_key string, _phases array<struct<phase:int,first:long,start:long,period:long,w:long>>")  # MAX_SOURCES rows at most
     cut = docs.withColumn("_key", key).withColumn("_bucket", scale.bucket(F.struct("doc_id", "source"), rows))
-    ranked = scale.before(cut, ["_key"], ["_bucket"], [F.col("doc_id")], F.lit(1), "_rank").join(per, "_key", "left")
-    ranked = ranked.withColumn("block_no", (F.col("_rank") / F.lit(block)).cast("long")).withColumn("_turn", F.col("block_no") % F.col("_w"))
-    out = ranked.join(F.broadcast(table.select("_key", "_turn", "_at")), ["_key", "_turn"], "left")  # 4 * MAX_SOURCES rows at most
-    out = out.withColumn("slot", F.expr(f"block_no div _w * {period} + _at"))
+    ranked = scale.before(cut, ["_key"], ["_bucket"], [F.col("doc_id")], F.lit(1), "_rank").join(F.broadcast(per), "_key", "left")
+    ranked = ranked.withColumn("block_no", (F.col("_rank") / F.lit(block)).cast("long"))
+    # the last phase that begins at or before the block: phases in which the source has no turn begin where the next does
+    ranked = ranked.withColumn("_of", F.element_at(F.filter("_phases", lambda x: x.first <= F.col("block_no")), -1)).withColumn("phase", F.col("_of.phase"))
+    ranked = ranked.withColumn("_turn", (F.col("block_no") - F.col("_of.first")) % F.col("_of.w"))
+    out = ranked.join(F.broadcast(table), ["_key", "phase", "_turn"], "left")
+    out = out.withColumn("slot", F.expr("_of.start + (block_no - _of.first) div _of.w * _of.period + _at"))
     out = out.withColumn("position", F.col("slot") * block + F.col("_rank") % block).withColumn("in_mix", F.coalesce(F.col("slot") < end, F.lit(False)))
-    return out.select(*docs.columns, "slot", "position", "in_mix", "target", "block_no")
+    out = out.withColumn("target", F.col("_of.w") / F.col("_of.period"))
+    return out.select(*docs.columns, "slot", "position", "in_mix", "target", "block_no", "phase")
 
 
 def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, period: int = PERIOD, block: int = BLOCK) -> DataFrame:
-    """The documents of the target mix with their own columns, written in mixed order."""
-    out = mix(docs, weights, period, block).filter("in_mix")
+    """All documents of weighed sources with their own columns, written in mixed order."""
+    out = mix(docs, weights, period, block).filter("position is not null")
     return out.repartitionByRange("position").sortWithinPartitions("position").select(*docs.columns)
