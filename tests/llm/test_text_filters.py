@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from tests.llm import util
 from tidemark.llm import decontaminate, quality, urls
@@ -36,6 +37,33 @@ def test_seeds_find_copies_with_substitutions(spark):
     assert decontaminate.overlaps(docs, bench(spark, [(1, None), (2, "")])).count() == 0
 
 
+def test_segment_is_the_best_of_all():
+    rng = random.Random(5)
+    for _ in range(600):
+        equal = np.array([rng.random() < 0.75 for _ in range(rng.randint(1, 30))])
+        every = [(int(equal[i:j].sum()), i - j, i) for i in range(len(equal)) for j in range(i, len(equal) + 1) if 5 * equal[i:j].sum() >= 4 * (j - i)]
+        most, length, _ = max(every)
+        begin, end = decontaminate.segment(equal)
+        assert (int(equal[begin:end].sum()), begin - end) == (most, length)
+
+
+def test_items_with_a_tenth_to_a_fifth_changed_are_verified(spark):
+    rng = random.Random(6)
+    items, docs = [], []
+    for k, (n, changes) in enumerate([(15, (5, 10)), (20, (5, 10, 15)), (20, (3, 9, 12, 18)), *[(n, None) for n in range(15, 21) for _ in range(12)]]):
+        w = [f"i{k}w{j}" for j in range(n)]
+        items.append((k, " ".join(w)))
+        for at in changes or rng.sample(range(n), rng.randint(-(-n // 10), n // 5)):
+            w[at] = "changed"
+        docs.append((k, " ".join([f"d{k}x{j}" for j in range(30)] + w + [f"d{k}y{j}" for j in range(30)])))
+    index = decontaminate.Index([k for k, _ in items], pa.array([t for _, t in items]))
+    hit = set()  # what any seed finds with any number of equal tokens
+    for t, i, *_ in index.overlaps(pa.array([t for _, t in docs]), 1):
+        hit.add((t, i))
+    assert {(0, 0), (1, 1)} <= hit and len(hit) > 0.8 * len(items)
+    assert {(r.doc_id, r.item_id) for r in decontaminate.overlaps(util.docs(spark, docs), bench(spark, items)).collect()} == hit
+
+
 def test_short_items_only_as_a_whole(spark):
     docs = util.docs(spark, [(1, "say: the quick brown fox jumps high"), (2, "the quick brown cat jumps high"), (3, "a b c")])
     got = {(r.doc_id, r.item_id) for r in decontaminate.overlaps(docs, bench(spark, [(7, "quick brown fox jumps high"), (8, "a b c")])).collect()}

@@ -3,9 +3,9 @@
 Fixed masks select some of ``SPAN`` consecutive tokens and ignore the others, so a seed survives
 substitutions in the ignored places. The seeds of all benchmark items are hashed and sorted; each
 document's positions are looked up in them under every mask. Around each hit, item and document are
-compared token by token along the hit's diagonal; the best segment (match +1, mismatch -4, so at
-least four of five tokens are equal) is an overlap if it has ``min_matched`` equal tokens, or 80% of a
-shorter item.
+compared token by token along the hit's diagonal; of the segments in which at least four of five tokens
+are equal, the one with most equal tokens is an overlap if these are ``min_matched``, or 80% of a shorter
+item.
 
 Tokens: ASCII punctuation is dropped, A-Z lower-cased, split at blanks. Items of 5 to 9 tokens are
 found only as a whole and unchanged; shorter ones can't be told from chance and are never reported.
@@ -55,6 +55,19 @@ def seeds(hashes: np.ndarray, mask: str) -> np.ndarray:
     return K.mix(out)
 
 
+def segment(equal: np.ndarray) -> tuple[int, int]:
+    """Begin and end of the segment with most equal tokens among those with at least four of five equal; the shortest of several."""
+    sums = np.concatenate([[0], np.cumsum(np.where(equal, 1, -MISMATCH))])
+    count = np.concatenate([[0], np.cumsum(equal)])
+    # from each begin, the last end whose sum isn't below: it is the last whose later sums reach it
+    reach = np.maximum.accumulate(sums[::-1])[::-1]
+    end = np.searchsorted(-reach, -sums, side="right") - 1
+    matched = count[end] - count
+    end = np.maximum(np.searchsorted(count, count[end]), np.arange(len(end)))  # back to the last equal token
+    begin = int((matched * len(sums) - (end - np.arange(len(end)))).argmax())
+    return begin, int(end[begin])
+
+
 class Index:
     """Seeds of one block of benchmark items."""
 
@@ -100,12 +113,12 @@ class Index:
             own = self.hashes[self.first[item] : self.first[item + 1]]
             lo, hi = max(0, int(w.first[text]) - start), min(len(own), int(w.first[text + 1]) - start)
             equal = w.hashes[start + lo : start + hi] == own[lo:hi]
-            sums = np.concatenate([[0], np.cumsum(np.where(equal, 1, -MISMATCH))])
-            gain = sums - np.minimum.accumulate(sums)
-            end = int(gain.argmax())
-            begin = int(sums[:end + 1].argmin())
+            least = min(min_matched, -(-4 * len(own) // 5))
+            if equal.sum() < least:
+                continue
+            begin, end = segment(equal)
             matched = int(equal[begin:end].sum())
-            if matched >= min(min_matched, -(-4 * len(own) // 5)):
+            if matched >= least:
                 got = (text, item, matched, end - begin, len(own), start + lo + begin - int(w.first[text]), lo + begin)
                 best[text, item] = max(best.get((text, item), got), got)
         return [best[k] for k in sorted(best)]
