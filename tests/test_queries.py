@@ -21,6 +21,11 @@ def test_query_equals_oracle(spark, con, name):
     assert compare(spark, con, QUERIES[name], ORACLE[name], SF) is None
 
 
+def test_all_bars_are_compounded(spark):
+    got = QUERIES["q_compound_return_all"](spark, SF)
+    assert got.count() == QUERIES["q_bars"](spark, SF).count() and got.filter("log_growth is null").count() == 0
+
+
 def test_only_the_rule_based_scorer_lacks_sql():
     assert set(QUERIES) - set(ORACLE) == {"q_lexicon_score"}
 

@@ -138,6 +138,7 @@ ORACLE: dict[str, str] = {
     "q_bars": _with(_B) + "SELECT * FROM b",
     "q_bar_neighbours": _with(_B) + f"SELECT ticker, date, CAST(idx AS INTEGER) AS idx, {r9('ret', 'ret')}, prev_date, prev_close, next_date, {r9('next_ret', 'next_ret')} FROM bn",
     "q_compound_return": _with(_B) + "SELECT ticker, date, round(product(1 + (close - open) / open) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING) - 1, 6) AS cumulative FROM b WHERE close < 3 * open",
+    "q_compound_return_all": _with(_B) + ", c AS (SELECT ticker, date, product(1 + (close - open) / open) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS cumulative FROM b) SELECT ticker, date, round(ln(CASE WHEN cumulative > -1 THEN 1 + cumulative END), 6) AS log_growth FROM c",
     "q_bar_on": _with(_H, _A, _B) + "SELECT b.* FROM b JOIN (SELECT DISTINCT ticker, session_date FROM a) k ON k.ticker = b.ticker AND k.session_date = b.date",
     "q_asof_session": _with(_H, _A, _B, _K) + "SELECT a.seq, a.ticker, a.session_date, k.bar_date, b.open, b.close FROM a JOIN k USING (ticker, session_date) LEFT JOIN b ON b.ticker = a.ticker AND b.date = k.bar_date",
     "q_asof_strict": _with(_H, _A, _B) + "SELECT a.seq, a.ticker, a.session_date, k.bar_date FROM a JOIN (SELECT k.ticker, k.session_date, min(b.date) AS bar_date FROM (SELECT DISTINCT ticker, session_date FROM a) k LEFT JOIN b ON b.ticker = k.ticker AND b.date > k.session_date GROUP BY 1, 2) k USING (ticker, session_date)",

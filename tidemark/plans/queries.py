@@ -92,6 +92,12 @@ def q_compound_return(spark, d):
     return bars.cumulative_returns(b).select("ticker", "date", F.round("cumulative", 6).alias("cumulative"))
 
 
+@query
+def q_compound_return_all(spark, d):
+    """All bars; as the logarithm of 1 + cumulative, which rounds alike at any size (null where nothing is left)."""
+    return bars.cumulative_returns(price_bars(spark, d)).select("ticker", "date", F.round(F.log(F.col("cumulative") + 1), 6).alias("log_growth"))
+
+
 @query
 def q_bar_on(spark, d):
     keys = aligned(spark, d).select("ticker", F.col("session_date").alias("date")).distinct()
