@@ -174,6 +174,25 @@ def test_quotes_lead_to_parents(spark):
     assert conversations.in_reply_order(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+WRAPPED = [
+    (0, "The quick brown fox jumps over the lazy dog and then\nsleeps in the warm sun until the evening comes."), (1, "An unrelated message with many words of its own, said once."),
+    (2, "> The quick brown fox jumps\n> over the lazy dog and\n>\n> then sleeps in the warm sun\nI like it."), (3, "ok"), (4, "> ok\nfine"),
+    (5, "今日はとても天気がいいですね。\n散歩に行きましょう。"), (6, "> 今日はとても天\n> 気がいいですね。散歩に\n> 行きましょう。\n賛成です"), (7, "好"), (8, "> 好\n!"),
+    (9, "> this message was never sent here at all\n> > The quick brown fox\n> > jumps over the lazy dog\nsee above"), (10, "> nobody ever wrote any of these words\nx"),
+    (11, "> > An unrelated message\n> > with many words of its own\n> jumps over lazy the fox brown\ny"), (12, "> The quick brown fox jumps over the lazy\n> > An unrelated message with many words of its own, said once.\nz"),
+]
+
+
+def test_passages_link_whatever_their_line_breaks(spark):
+    later = [(2, 0, "a", "The quick brown fox jumps over the lazy dog"), (2, 2000, "b", "> The quick brown\n> fox jumps over\n> the lazy dog\nhm")]
+    rows = [(1, t, "a", x) for t, x in WRAPPED] + later + [(3, 0, "a", "> The quick brown\n> fox jumps over\n> the lazy dog")]
+    got = conversations.in_reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert len(got) == len(rows)
+    want = {2: 0, 4: 3, 6: 5, 8: 7, 9: 0, 11: 1, 12: 0}
+    assert {r.turn: r.reply_to for r in got if r.conv_id == 1} == {t: want.get(t) for t, _ in WRAPPED}
+    assert {(r.conv_id, r.turn): r.reply_to for r in got if r.conv_id > 1} == {(2, 0): None, (2, 2000): 0, (3, 0): None}
+
+
 def test_long_threads_and_hot_lines(spark):
     chain = [(1, t, "u", ("" if not t else f"> line number {t - 1} says\n") + f"line number {t} says\nthe same words everywhere") for t in range(1300)]
     hot = [(2, t, "u", "> the same words everywhere\nthe same words everywhere") for t in range(1300)]
