@@ -62,3 +62,10 @@ def test_components_of_paths_and_stars(spark):
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert all(want[k] == v for k, v in got.items()) and {k for a, b in links if a != b for k in (a, b)} == set(got)
     assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_bands_follow_from_the_threshold():
+    assert minhash.banding(85) == (32, 6)
+    for percent in (50, 70, 80, 85, 90, 95):
+        bands, rows = minhash.banding(percent)
+        assert (1 - (percent / 100) ** rows) ** bands <= 3e-7 and bands * rows <= 192

@@ -3,7 +3,8 @@
 1. Each text becomes the set of its distinct word shingles; equal sets form a class, named by its
    least ``doc_id``, so copies, however many, go on as one.
 2. Each class gets ``bands * rows`` universal-hash minima. Classes that agree on a band share a
-   bucket. With 32 bands of 6 a pair at the threshold 0.85 shares none with probability 3e-7.
+   bucket. Bands and rows follow from the threshold (:func:`banding`), so that a pair just at it shares
+   none with probability 3e-7 at most: 32 bands of 6 at 85%, 38 of 5 at 80%.
 3. In each bucket all classes are paired with the least one only (a star). Signatures are compared
    first (8 bits of each minimum, 6 standard deviations below the threshold), then the full
    shingle sets decide. Linked classes are joined to components.
@@ -22,6 +23,7 @@ columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,8 @@ from pyspark.sql import functions as F
 from tidemark.llm import graph, store, substring
 from tidemark.llm import kernel as K
 
-SHINGLE, PERCENT, BANDS, ROWS = 3, 85, 32, 6
+SHINGLE, PERCENT = 3, 85
+MINIMA, MISSED = 192, 3e-7
 BLOCK, BLOCK_BYTES = 192, 1 << 19  # classes of a bucket, and bytes of their texts, compared with as many others at once
 _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(0, 2**32, 1024, dtype=np.uint64).astype(np.uint32)) | np.uint32(1)
@@ -61,6 +64,15 @@ def shingle_sets(w: K.Runs, size: int) -> tuple[np.ndarray, np.ndarray]:
     return text[at], found[at]
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """Bands and rows: the most rows for which ``MINIMA`` minima miss a pair at ``percent`` with probability ``MISSED`` at most."""
+    p = percent / 100
+    for rows in range(MINIMA, 0, -1):
+        if (1 - p**rows) ** (MINIMA // rows) <= MISSED:
+            return MINIMA // rows, rows
+    return min(len(_A), ceil(log(MISSED) / log(1 - p))), 1
+
+
 def _sign(shingle: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in K.pieces(batches):
@@ -203,9 +215,11 @@ def _merged(buckets: DataFrame) -> DataFrame:
     return one.unionByName(known.filter("not one").select(F.lit(0).alias("kind"), "bucket", "rep", "comp", "n"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bands: int | None = None, rows: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept and class_id (least doc_id with the same shingle set) of each row."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
+    if bands is None or rows is None:
+        bands, rows = banding(percent)
     minima = bands * rows
     signed = store.table(docs.mapInArrow(_sign(shingle, bands, rows), SIGNED), "signed")
     classes = store.table(
