@@ -1,6 +1,6 @@
-"""Removal of passages that an earlier document has, by relative Lempel-Ziv parsing.
+"""Removal of passages that an earlier document has, by exact lookups of its windows.
 
-Every document is parsed against all documents of smaller ``doc_id``, the reference.
+Every document is looked up in all documents of smaller ``doc_id``, the reference.
 
 1. *Reference blocks.* The least hash of the ``window - gram + 1`` word grams of a window is its
    anchor. Consecutive windows of one anchor form a block, some 20 windows long. Equal windows have
@@ -8,9 +8,11 @@ Every document is parsed against all documents of smaller ``doc_id``, the refere
 2. *Index.* Blocks are indexed by anchor; anchors that only one document has are dropped. Blocks with
    the same words are one index entry, held by the least ``doc_id``, however many copies there are.
 3. *Factors.* A block that an earlier document holds whole is part of a factor. Where blocks of one
-   anchor differ - at factor boundaries - their single windows are indexed and looked up. Adjacent
-   hits join greedily to factors; each is at least ``window`` words long.
-4. The words under factors go.
+   anchor differ - at factor boundaries - their single windows are indexed and looked up.
+4. The words under hits go (:func:`remove`); joining hits to factors wouldn't change which those are.
+
+:func:`factors` gives the greedy relative Lempel-Ziv parse of the same hits: adjacent ones join to
+factors of at least ``window`` words. Removal doesn't need it.
 
 Exact but for collisions of 64-bit hashes: each window is decided by a lookup of its whole word
 sequence (or that of its whole block). What the executors share is two membership filters of a
