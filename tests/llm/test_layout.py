@@ -199,3 +199,40 @@ def test_long_threads_and_hot_lines(spark):
     got = conversations.in_reply_order(spark.createDataFrame(chain + hot, "conv_id long, turn long, role string, text string")).collect()
     for r in got:
         assert r.reply_to == (r.turn - 1 if r.turn else None) and (r.root, r.depth, r.position) == (0, r.turn, r.turn)
+
+
+def cut_links(rows, got):
+    """Pairs of equal texts in different shards, counted one by one."""
+    places = defaultdict(list)
+    for r in got:
+        if r.group is not None:
+            places[r.group].append(r.shard)
+    return sum(a != b for s in places.values() for i, a in enumerate(s) for b in s[:i])
+
+
+def test_labels_propagate_until_few_links_are_cut(spark):
+    rng = random.Random(8)
+    rows = [(i, f"text {rng.randrange(150) if i % 10 else -i}") for i in range(960)]  # nine tenths linked, groups of about six in quotas of 40
+    seen = {}
+    got = sharding.assign(util.docs(spark, rows), report=lambda k, cut: seen.setdefault(k, cut)).collect()
+    check_shards(got, rows, 24)
+    cuts = [seen[k] for k in sorted(seen)]
+    assert len(cuts) > 3 and all(a >= b for a, b in zip(cuts, cuts[1:])) and cuts[0] > cuts[1] > cuts[2] >= cuts[-1] and cuts[-1] < 0.1 * cuts[0], cuts
+    assert cut_links(rows, got) == cuts[-1]
+    one = {}
+    sharding.assign(util.docs(spark, rows), rounds=1, report=lambda k, cut: one.setdefault(k, cut))
+    assert one == {0: cuts[0], 1: cuts[1]}
+
+
+def test_admitted_moves_keep_quotas():
+    rng = random.Random(9)
+    assert sharding.admitted({(0, 1): 10, (1, 0): 4}, [0, 0]) == {(0, 1): 4, (1, 0): 4}
+    assert sharding.admitted({(0, 1): 5, (1, 2): 5, (2, 0): 5}, [0, 0, 0]) == {(0, 1): 5, (1, 2): 5, (2, 0): 5}
+    for _ in range(200):
+        n = rng.randint(2, 8)
+        room = [rng.choice((0, 0, rng.randint(0, 50))) for _ in range(n)]
+        want = {(i, j): rng.randint(1, 60) for i in range(n) for j in range(n) if i != j and rng.random() < 0.5}
+        got = sharding.admitted(want, room)
+        assert all(0 < x <= want[k] for k, x in got.items())
+        for b in range(n):
+            assert sum(x for (_, j), x in got.items() if j == b) - sum(x for (i, _), x in got.items() if i == b) <= room[b]
