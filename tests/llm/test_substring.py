@@ -68,3 +68,28 @@ def test_factors_cover_what_is_removed(spark):
     assert (2, 2, 80, 1) in got and {r[0] for r in got} == {2, 3}
     kept = {r.doc_id: r.kept_text for r in substring.remove(util.docs(spark, rows), texts=True).collect()}
     assert kept[2] == "new words end" and kept[3] == "" and kept[1] is None
+
+
+def test_two_texts_of_one_id_and_clashing_columns(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(70)) for c in "ab")
+    rows = [(1, one), (2, "x " + one), (2, two + " y"), (3, two), (3, two), (None, one)]
+    docs = util.docs(spark, rows).selectExpr("*", "1 as tid", "2 as pos", "'z' as anchor", "3 as n_words", "4 as hits")
+    got = sorted(map(tuple, substring.remove(docs).collect()), key=str)
+    assert got == brute(rows, 50) and sum(r[2] for r in got) == 70 + 2 * 70
+
+
+def test_factors_copy_from_one_place_of_one_document(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(1, " ".join(words))]
+    for d in range(2, 30):
+        lo, at = rng.randrange(300), rng.randrange(300)
+        rows.append((d, " ".join([*words[lo : lo + rng.randint(5, 100)], f"own{d}", *words[at : at + 90]])))
+    texts = {i: t.split() for i, t in rows}
+    removed = dict((i, n) for i, _, n, _ in brute(rows, 10))
+    covered = {i: set() for i in texts}
+    for r in substring.factors(util.docs(spark, rows), 10, 4).collect():
+        assert r.n_words >= 10 and r.ref_doc_id < r.doc_id
+        assert texts[r.doc_id][r.start : r.start + r.n_words] == texts[r.ref_doc_id][r.ref_pos : r.ref_pos + r.n_words]
+        covered[r.doc_id] |= set(range(r.start, r.start + r.n_words))
+    assert {i: len(c) for i, c in covered.items()} == removed
