@@ -3,6 +3,7 @@
 import random
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -12,16 +13,33 @@ from tests.llm import util
 from tidemark.llm import conversations, mixing, sharding, tokens
 
 
-def test_schedule_deviates_by_less_than_one_block():
+def test_schedule_deviates_by_less_than_one_turn():
     rng = random.Random(1)
     for n in (1, 2, 5, 17):
-        weights = mixing.whole_weights({f"s{i}": rng.random() + 0.01 for i in range(n)}, 200)
+        weights = {f"s{i}": rng.randint(1, 40) for i in range(n)}
+        period = sum(weights.values())
         order = mixing.schedule(weights)
-        assert sum(weights.values()) == 200 and Counter(order) == Counter(weights)
+        assert Counter(order) == Counter(weights)
         seen = Counter()
         for t, k in enumerate(order * 2, 1):
             seen[k] += 1
-            assert all(abs(seen[s] - w * t / 200) < 1 for s, w in weights.items())
+            assert all(abs(seen[s] - Fraction(w * t, period)) < 1 for s, w in weights.items())
+
+
+@pytest.mark.parametrize("weights", [{"a": 0.33349, "b": 0.33349, "c": 0.33302}, {"a": Fraction(1, 3), "b": Fraction(1, 3), "c": Fraction(1, 3) - Fraction(5, 10**4), "d": Fraction(5, 10**4)}, {f"s{i}": 1.7**-i for i in range(30)}, {"a": 3}])
+def test_given_weights_are_met_to_less_than_a_block_of_two_turns(weights):
+    exact = mixing.whole_weights(weights)
+    total, slots = sum(exact.values()), 100_000
+    assert all(Fraction(exact[a], total) * sum(map(Fraction, weights.values())) == Fraction(weights[a]) for a in weights)
+    seen, t = Counter(), 0
+    for start, got in mixing.frames(exact, slots, 7001):
+        assert start == t and all(seen[k] == had for k, (had, _) in got.items())
+        assert all(abs(seen[k] * total - w * t) < total for k, w in exact.items())  # less than one turn at the end of a frame
+        for k in mixing.schedule({k: n for k, (_, n) in got.items()}):
+            t += 1
+            seen[k] += 1
+            assert abs(seen[k] * total - exact[k] * t) < 2 * total and (t % 97 or all(abs(seen[s] * total - w * t) < 2 * total for s, w in exact.items()))
+    assert t == slots
 
 
 def test_mix_places_every_row(spark):
@@ -40,43 +58,74 @@ def test_mix_places_every_row(spark):
     assert mixing.mix(util.docs(spark, [])).count() == 0
 
 
-def test_phases_place_every_block_once_and_keep_weights():
+def test_phases_place_every_turn_once_and_keep_weights():
     rng = random.Random(4)
     for n in (1, 2, 7, 40):
-        blocks = {f"s{i}": 1 + int(rng.expovariate(0.001)) for i in range(n)} | {"rare": 1}
-        weights = {k: rng.random() + 0.01 for k in blocks}
-        got, full = mixing.phases(weights, blocks, 100)
-        seen = {}
-        for k, total in blocks.items():
-            for b in range(total):
-                x = [x for x in got if k in x.first and x.first[k] <= b][-1]
-                i, w = b - x.first[k], len(x.turns[k])
-                slot = x.start + i // w * x.period + x.turns[k][i % w]
-                assert seen.setdefault(slot, (k, b)) == (k, b)
-        assert len(seen) == sum(blocks.values()) and set(range(full)) <= set(seen)
-        assert any(sum(seen[s][0] == k for s in range(full)) == total for k, total in blocks.items())
+        turns = {f"s{i}": 1 + int(rng.expovariate(0.001)) for i in range(n)} | {"rare": 1}
+        weights = {k: rng.random() + 0.01 for k in turns}
+        seen, target, begun = {}, {}, []
+        for phase, start, of, size, got in mixing.phases(weights, turns, 100):
+            target.setdefault(phase, of)
+            if len(begun) <= phase:
+                begun.append(start)
+            left = {k: first for k, (first, _) in got.items()}
+            order = mixing.schedule({k: x for k, (_, x) in got.items()})
+            assert len(order) == size
+            for at, k in enumerate(order):
+                if left[k] < turns[k]:
+                    assert seen.setdefault(start + at, (k, left[k])) == (k, left[k])
+                left[k] += 1
+        assert len(seen) == sum(turns.values())
         order = [seen[s] for s in sorted(seen)]
-        assert all([b for q, b in order if q == k] == list(range(total)) for k, total in blocks.items())
-        for x, y in zip(got, [*got[1:], None]):
-            part = Counter(seen[s][0] for s in seen if x.start <= s and (y is None or s < y.start))
-            last = [k for k in x.turns if y and k in y.turns]
-            for a in last:
-                for b in last:
-                    assert abs(part[a] / len(x.turns[a]) - part[b] / len(x.turns[b])) < 1 / len(x.turns[a]) + 1 / len(x.turns[b])
-
-
-def test_many_sources_share_a_bounded_schedule(monkeypatch):
-    monkeypatch.setattr(mixing, "MAX_SLOTS", 300)
-    got, _ = mixing.phases({f"s{i}": 2.0**-i for i in range(20)}, {f"s{i}": 50 for i in range(20)}, 100)
-    assert sum(x.period for x in got) <= 300
+        assert all([b for q, b in order if q == k] == list(range(total)) for k, total in turns.items())
+        for phase, (a, b) in enumerate(zip(begun, [*begun[1:], max(seen) + 1])):
+            assert sum(target[phase].values()) == 1
+            part = Counter(seen[s][0] for s in seen if a <= s < b)
+            for k, w in target[phase].items():
+                if phase + 1 < len(begun) and k in target[phase + 1]:  # lasts to the phase's end
+                    assert abs(part[k] - w * (b - a)) < 2
+
+
+def test_position_of_each_row_by_brute_force(spark):
+    rng = random.Random(5)
+    rows = [(i, "t", f"s{min(int(rng.expovariate(0.7)), 3)}") for i in range(700)]
+    got = mixing.mix(util.docs(spark, rows), {"s0": 0.3, "s1": Fraction(1, 3), "s2": 0.1}, block=4, frame=64).collect()
+    turns = {"=" + k: -(-n // 2) for k, n in Counter(r[2] for r in rows).items() if k != "s3"}
+    slot = {}
+    for phase, start, of, _, part in mixing.phases({"=s0": 0.3, "=s1": Fraction(1, 3), "=s2": 0.1}, turns, 64):
+        at = {k: first for k, (first, _) in part.items()}
+        for i, k in enumerate(mixing.schedule({k: n for k, (_, n) in part.items()})):
+            slot[k, at[k]] = (start + i, phase, float(of[k]))
+            at[k] += 1
+    by = defaultdict(list)
+    for r in got:
+        by[r.source].append(r)
+    for k, some in by.items():
+        if k == "s3":
+            assert all(r.slot is None and not r.in_mix and r.position is None for r in some)
+            continue
+        some.sort(key=lambda r: r.position)
+        want = [slot["=" + k, i // 2] for i in range(len(some))]
+        assert [(r.slot, r.phase, r.target) for r in some] == want and [r.block_no for r in some] == [i // 4 for i in range(len(some))]
+        assert [r.position for r in some] == [2 * s + i % 2 for i, (s, _, _) in enumerate(want)]
+
+
+def test_mixed_returns_columns_of_any_name_unchanged(spark):
+    rows = [(i, f"t{i}", f"s{i % 2}") for i in range(200)] + [(None, f"n{i}", None) for i in range(100)] + [(5, "t5", "s1")] * 20
+    names = ["slot", "target", "position", "in_mix", "phase", "block_no", "_key", "_row", "_bucket", "_rank", "_turn", "_hash", "a.b"]
+    docs = util.docs(spark, rows).selectExpr("*", *(f"concat('{n}', text) as `{n}`" for n in names), "map('k', text) as m")
+    out = mixing.mixed(docs, block=4, frame=32)
+    assert out.columns == docs.columns and out.schema == docs.schema
+    key = lambda r: repr(r)
+    assert sorted(out.collect(), key=key) == sorted(docs.collect(), key=key)
 
 
 def test_a_rare_source_cuts_no_others(spark):
     rows = [(i, "t", f"s{i % 3}") for i in range(3000)] + [(5000, "t", None)]
     docs = util.docs(spark, rows)
-    got = mixing.mix(docs, period=200, block=4).toPandas()
+    got = mixing.mix(docs, block=4).toPandas()
     assert len(got) == len(rows) and got.position.notna().all() and got.position.is_unique
-    assert sorted(r.doc_id for r in mixing.mixed(docs, period=200, block=4).collect()) == sorted(r[0] for r in rows)
+    assert sorted(r.doc_id for r in mixing.mixed(docs, block=4).collect()) == sorted(r[0] for r in rows)
     rest = got[got.source.notna()].sort_values("position")
     assert all(abs(x - 1 / 3) < 0.03 for x in rest[: len(rest) // 2].source.value_counts(normalize=True))
 
