@@ -1,7 +1,7 @@
 """Shared-folder tables and a fixed-size membership filter.
 
 ``spark.checkpoint.dir`` names the one folder that driver and executors share. It is read from
-the session; only where it is unset (as in tests) a folder of our own is set.
+the session; only where it is unset in local mode (as in tests) a folder of our own is set. On a cluster that is an error.
 """
 
 from __future__ import annotations
@@ -10,16 +10,19 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; sets one only where none is set."""
+    """The folder of ``spark.checkpoint.dir``; in local mode one is set where none is."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
@@ -65,10 +68,13 @@ class MemberFilter:
     def test(self, keys: np.ndarray) -> np.ndarray:
         keys = keys.view(np.uint64) if keys.dtype == np.int64 else keys.astype(np.uint64)
         mask = np.uint64((1 << self.log2) - 1)
-        out = np.ones(len(keys), dtype=bool)
-        for shift in (0, 20, 37):
-            at = (keys >> np.uint64(shift)) & mask
-            out &= (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        left = None
+        for shift in (0, 20, 37):  # each only where the ones before said yes
+            at = ((keys if left is None else keys[left]) >> np.uint64(shift)) & mask
+            yes = np.flatnonzero(self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
+            left = yes if left is None else left[yes]
+        out = np.zeros(len(keys), dtype=bool)
+        out[left] = True
         return out
 
 
@@ -89,3 +95,28 @@ def member_filter(keys: DataFrame, column: str, count: int) -> MemberFilter:
     bits = np.zeros(max(1, (1 << log2) // 64), dtype=np.int64)
     bits[found.column("word").to_numpy()] = found.column("bits").to_numpy()
     return MemberFilter(bits.view(np.uint8), log2)
+
+
+def _in_filter(spark: SparkSession, keys: DataFrame, column: str):
+    """A function of a column of 64-bit hashes: whether it may be among ``keys``. Only that column goes to Python."""
+    shared = spark.sparkContext.broadcast(member_filter(keys, column, keys.count()))
+
+    @F.pandas_udf("boolean")
+    def test(key: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.test(key.to_numpy()))
+
+    return test
+
+
+def maybe_in(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """Rows whose ``column``, a 64-bit hash, is among ``keys``, and a few more: what is left to join."""
+    return df.filter(_in_filter(df.sparkSession, keys, column)(F.col(column)))
+
+
+def without(df: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
+    """Rows, with all their columns, whose ``key``, a 64-bit hash, isn't among ``gone`` (key). Only rows that may be are shuffled."""
+    test = _in_filter(df.sparkSession, gone, "key")
+    keyed = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), key.alias("key"))
+    rest = keyed.filter(test("key")).join(gone.select("key").distinct(), "key", "left_anti")
+    out = keyed.filter(~test("key")).select("_row").unionByName(rest.select("_row"))
+    return out.select(*(F.col("_row").getField(c).alias(c) for c in df.columns))
