@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import store
 
-MAX_ROUNDS = 64  # rounds grow with the logarithm of the graph; this many is never met
+MAX_ROUNDS = 64  # rounds grow with the logarithm of the graph: enough for any that can be stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -44,5 +44,7 @@ def components(edges: DataFrame) -> DataFrame:
         now = nxt
         if _are_stars(now):
             break
+    else:
+        raise RuntimeError(f"components are not complete after {MAX_ROUNDS} rounds")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

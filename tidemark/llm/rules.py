@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm import kernel as K
 from tidemark.llm import store
@@ -229,33 +230,46 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "votes"])
 
 
-def judge(docs: DataFrame, threshold: float = KEEP_FROM) -> tuple[DataFrame, VoteModel]:
-    """Counts, vote pattern, posterior ``p_good`` and ``kept`` of each document, and the fitted model."""
-    spark = docs.sparkSession
-    seen = store.table(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_judge, SCHEMA), "rules")
+def _model(seen: DataFrame) -> tuple[DataFrame, VoteModel]:
+    """(votes, p_good) of each vote pattern, and the model fitted to the patterns of all documents."""
     found = seen.groupBy("votes").count().toArrow()  # 3**len(RULES) rows at most
     pattern, counts = (found.column(k).to_numpy().astype(np.int64) for k in ("votes", "count"))
     order = np.argsort(pattern)
     pattern, counts = pattern[order], counts[order]
     model = fit(unpack(pattern), counts.astype(float)) if len(pattern) else VoteModel(0.9, np.full((2, len(RULES), 3), 1 / 3))
     posterior = model.posterior(unpack(pattern)) if len(pattern) else np.zeros(0)
-    lookup = spark.createDataFrame([(int(p), float(x)) for p, x in zip(pattern, posterior, strict=True)], "votes long, p_good double")
+    rows = [(int(p), float(x)) for p, x in zip(pattern, posterior, strict=True)]
+    return seen.sparkSession.createDataFrame(rows, "votes long, p_good double"), model
+
+
+def judge(docs: DataFrame, threshold: float = KEEP_FROM) -> tuple[DataFrame, VoteModel]:
+    """Counts, vote pattern, posterior ``p_good`` and ``kept`` of each document, and the fitted model."""
+    seen = store.table(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_judge, SCHEMA), "rules")
+    lookup, model = _model(seen)
     out = seen.join(F.broadcast(lookup), "votes")
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold)), model
 
 
+@F.arrow_udf(T.StructType([T.StructField("votes", T.LongType()), T.StructField("failed", T.BooleanType())]))
+def _votes(texts: pa.Array) -> pa.Array:
+    """Votes and base rule of each text; only texts go to Python, and a row's other columns stay where they are."""
+    got = []
+    for b in K.pieces([pa.RecordBatch.from_arrays([texts], names=["text"])]):
+        f = features(b.column("text"))
+        got.append((votes(f), base_failed(f)))
+    v, failed = (np.concatenate([x[i] for x in got]) if got else np.zeros(0, dtype=t) for i, t in ((0, np.int64), (1, bool)))
+    return pa.StructArray.from_arrays([pa.array(v), pa.array(failed)], names=["votes", "failed"])
+
+
 def kept(docs: DataFrame, threshold: float = KEEP_FROM) -> DataFrame:
     """The documents, with all their columns, that :func:`judge` keeps. Nothing is shuffled.
 
-    The votes of all rows fit the model; a second pass over the texts applies it.
+    Texts are judged once; rows are written with their votes, and read again when these have fitted the model.
     """
-    _, model = judge(docs, threshold)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # two classes, rules, votes
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in K.pieces(batches):
-            f = features(b.column("text"))
-            ok = ~base_failed(f) & (shared.value.posterior(unpack(votes(f))) >= threshold)
-            yield b.filter(pa.array(ok))
-
-    return docs.mapInArrow(run, docs.schema)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    marked = docs.select(row, _votes("text").alias("_v")).select("_row", "_v.votes", "_v.failed")
+    marked = store.table(marked, "votes")
+    lookup, _ = _model(marked)
+    good = lookup.filter(F.col("p_good") >= threshold).select("votes")
+    out = marked.filter("not failed").join(F.broadcast(good), "votes", "left_semi")
+    return out.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))
