@@ -82,3 +82,28 @@ def test_each_row_has_its_result(spark, name):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_operators_that_sql_can_express(spark, name):
     assert compare(spark, connect(SF), queries.QUERIES[name], queries.ORACLE_SQL[name], SF) is None
+
+
+def test_columns_of_any_name_come_through_all_stages(spark, planted):
+    names = ["slot", "target", "_key", "_row", "key", "tid", "votes", "item", "_bucket", "count", "kept", "rep"]
+    docs = spark.read.parquet(f"{planted}/documents.parquet").filter("doc_id is null or doc_id < 60 or doc_id >= 1000")
+    docs = docs.selectExpr("*", *(f"concat('{n}', cast(doc_id as string)) as `{n}`" for n in names))
+    want, columns = set(docs.collect()), docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, planted).cache()
+        assert docs.columns == columns and set(docs.collect()) <= want, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, planted).count() == docs.count() > 40
+
+
+def test_stages_on_empty_tables_nulls_and_repeats(spark, planted):
+    docs = spark.read.parquet(f"{planted}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), planted).count() == 0
+    rows = util.docs(spark, [(1, "a b c d e f g"), (1, "a b c d e f g"), (1, "quite another text of seven words"), (None, "a b c d e f g"), (2, None), (2, None), (3, "")])
+    by = dict(corpus_pipeline.STAGES)
+    key = lambda r: (str(r.doc_id), str(r.text))
+    got = sorted(map(key, by["near duplicates"](spark, rows, planted).collect()))
+    assert got == [("1", "a b c d e f g"), ("1", "quite another text of seven words"), ("2", "None"), ("3", ""), ("None", "a b c d e f g")]
+    for name in ("benchmark decontamination", "mixing"):
+        assert sorted(map(key, by[name](spark, rows, planted).collect())) == sorted(map(key, rows.collect()))
+    assert by["quality rules"](spark, rows, planted).count() == 0 and by["sharding"](spark, rows, planted).count() == 7
