@@ -70,15 +70,27 @@ def _draw(*parts: str) -> str:
     return f"CAST('0x' || substr(md5({key}), 1, 8) AS BIGINT)"
 
 
-_TRIALS = f"tr AS (SELECT CAST(unnest(range(1, {Q.TRIALS + 1})) AS INTEGER) AS trial)"
+def _coefficients(n: int) -> str:
+    """tr: trials with their four coefficients."""
+    return f"tr AS (SELECT trial, " + ", ".join(f"{_draw('trial', chr(39) + c + chr(39))} % 2147483647 AS {c}_" for c in "abcd") + f" FROM (SELECT CAST(unnest(range(1, {n + 1})) AS INTEGER) AS trial))"
+
+
+_TRIALS = _coefficients(Q.TRIALS)
+#: Draw of a trial for a row's hash h.
+_POLY = "((((a_ * h + b_) % 2147483647) * h + c_) % 2147483647 * h + d_) % 2147483647"
+
+
+def _strata(source: str, within: str, key: str = "seq", columns: str = "*") -> str:
+    """Rows with grp, h and st, the stratum of about 8192 rows inside the group."""
+    return f"(SELECT *, h % greatest(1, CAST(ceil(count(*) OVER (PARTITION BY grp) / 8192.0) AS BIGINT)) AS st FROM (SELECT {columns}, {within} AS grp, {_draw(chr(39) + 'fixed' + chr(39), key)} % 2147483647 AS h FROM {source}))"
 
 
 def _permuted(source: str, donor: str, within: str = "0", key: str = "seq") -> str:
     """p: rows of ``source`` with ``donor`` of another row, per trial."""
-    fixed = _draw("'fixed'", key)
-    return f"""fx AS (SELECT *, {within} AS grp, row_number() OVER (PARTITION BY {within} ORDER BY {fixed}, {key}) AS rk FROM {source}),
-dn AS (SELECT trial, {within} AS grp, {donor} AS donor, row_number() OVER (PARTITION BY trial, {within} ORDER BY {_draw('trial', key)}, {key}) AS rk FROM {source}, tr),
-p AS (SELECT dn.trial, fx.* EXCLUDE ({donor}, rk, grp), dn.donor AS {donor} FROM fx JOIN dn ON dn.grp = fx.grp AND dn.rk = fx.rk)"""
+    return f"""fs AS {_strata(source, within, key)},
+fx AS (SELECT *, row_number() OVER (PARTITION BY grp, st ORDER BY h, {key}) AS rk FROM fs),
+dn AS (SELECT trial, grp, st, {donor} AS donor, row_number() OVER (PARTITION BY trial, grp, st ORDER BY {_POLY}, h, {key}) AS rk FROM fs, tr),
+p AS (SELECT dn.trial, fx.* EXCLUDE ({donor}, rk, grp, st, h), dn.donor AS {donor} FROM fx JOIN dn ON dn.grp = fx.grp AND dn.st = fx.st AND dn.rk = fx.rk)"""
 
 
 _RET = """pr AS (SELECT t.ticker, s.session_date, min(b.date) AS bar_date FROM (SELECT DISTINCT ticker FROM a) t CROSS JOIN (SELECT DISTINCT session_date FROM a) s LEFT JOIN b ON b.ticker = t.ticker AND b.date >= s.session_date GROUP BY 1, 2),
@@ -161,9 +173,10 @@ round(avg(abs(y - my)) FILTER (split = 'test'), 6) AS baseline_test_mae FROM pd"
     "q_predictions": _with(_H, _A, _B, _F, _US, _fit()) + "SELECT seq, split, round(predicted, 6) AS predicted_return FROM pd",
     "q_event_split": _FULL + "SELECT CASE WHEN abs(compound) > 0.3 THEN 'high' ELSE 'low' END AS magnitude, count(*) AS n, round(avg(contemporaneous_return), 7) AS mean_return FROM f GROUP BY 1",
     "q_bootstrap": _FULL + f""", o AS (SELECT CASE WHEN abs(compound) > 0.3 THEN 'high' ELSE 'low' END AS g, seq, contemporaneous_return AS v FROM f WHERE contemporaneous_return IS NOT NULL),
-rk AS (SELECT g, v, row_number() OVER (PARTITION BY g ORDER BY {_draw("'rank'", 'seq')}, seq) - 1 AS slot, count(*) OVER (PARTITION BY g) AS n FROM o),
-dr AS (SELECT trial, g, CAST(floor({_draw('trial', 'g', 'slot')} * n / 4294967296.0) AS BIGINT) AS slot FROM rk, (SELECT unnest(range(1, {Q.RESAMPLES + 1})) AS trial)),
-ms AS (SELECT dr.trial, avg(v) FILTER (dr.g = 'high') - avg(v) FILTER (dr.g = 'low') AS d FROM dr JOIN rk ON rk.g = dr.g AND rk.slot = dr.slot GROUP BY 1),
+rk AS (SELECT g, v, st, h, row_number() OVER (PARTITION BY g, st ORDER BY h, seq) - 1 AS slot, count(*) OVER (PARTITION BY g, st) AS n FROM {_strata('o', 'g')}),
+tr AS (SELECT * FROM ({_coefficients(Q.RESAMPLES)[7:-1]})),
+dr AS (SELECT trial, g, st, {_POLY} * n // 2147483647 AS slot FROM rk, tr),
+ms AS (SELECT dr.trial, avg(v) FILTER (dr.g = 'high') - avg(v) FILTER (dr.g = 'low') AS d FROM dr JOIN rk ON rk.g = dr.g AND rk.st = dr.st AND rk.slot = dr.slot GROUP BY 1),
 en AS (SELECT list_sort(list(d)) AS d FROM ms)
 SELECT count(*) FILTER (g = 'high') AS n_a, count(*) FILTER (g = 'low') AS n_b, round(avg(v) FILTER (g = 'high') - avg(v) FILTER (g = 'low'), 6) AS diff,
 round(any_value(en.d[{int(0.025 * Q.RESAMPLES) + 1}]), 6) AS ci_low, round(any_value(en.d[{int(0.975 * Q.RESAMPLES)}]), 6) AS ci_high FROM o, en""",
@@ -171,7 +184,7 @@ round(any_value(en.d[{int(0.025 * Q.RESAMPLES) + 1}]), 6) AS ci_low, round(any_v
     "q_audit_null": _AUDIT + "SELECT trial, n, round(r, 7) AS r FROM n0",
     "q_within_session": _with(_H, _A, _B, _F, _TRIALS, "wr AS (SELECT seq, session_date, compound, contemporaneous_return AS ret FROM f)", _permuted("wr", "ret", "session_date"),
                               f"n0 AS (SELECT trial, {_pearson('compound', 'ret')} AS r FROM p GROUP BY trial)") + _summary(f"SELECT {_pearson('compound', 'ret')} AS real FROM wr"),
-    "q_leakage": _with(_H, _A, _B, _RET, _TRIALS, "lr AS (SELECT seq, CASE WHEN ticker <> 'signup' THEN ticker END AS ticker, session_date, compound FROM a)", _permuted("lr", "session_date"),
+    "q_leakage": _with(_H, _A, _B, _RET, _coefficients(Q.LEAK_TRIALS), "lr AS (SELECT seq, CASE WHEN ticker <> 'signup' THEN ticker END AS ticker, session_date, compound FROM a)", _permuted("lr", "session_date"),
                        "al AS (SELECT 0 AS trial, seq, ticker, session_date, compound FROM lr UNION ALL SELECT trial, seq, ticker, session_date, compound FROM p)",
                        "se AS (SELECT al.*, rt.ret, rt.lagged FROM al JOIN rt USING (ticker, session_date))",
                        "us AS (SELECT trial, seq, compound, lagged AS y FROM se WHERE lagged IS NOT NULL)", _fit("trial"),

@@ -17,7 +17,7 @@ from tidemark.operators import asof, bars, corpus, evaluation, eventstudy, fact,
 from tidemark.sources import payloads
 
 HOLIDAYS = ("2024-01-10", "2024-01-16", "2024-01-17")
-TRIALS, RESAMPLES, SEED = 20, 10, 0
+TRIALS, LEAK_TRIALS, RESAMPLES, SEED = 2000, 500, 5000, 0
 INDEX = "view"
 RULES = [(0, "^purchase event", "Purchase Co", "purchase"), (1, "^view event [0-9]*7$", "Lucky View", None), (2, "^view ", "View Co", "view"), (3, r"^error\b", "Error Co", "error"), (4, "event", "Any Co", "click")]
 
@@ -242,7 +242,7 @@ def q_within_session(spark, d):
 @query
 def q_leakage(spark, d):
     rows = aligned(spark, d).withColumn("ticker", F.when(F.col("ticker") != "signup", F.col("ticker")))
-    out = resample.leakage(rows, _returns(spark, d), TRIALS, SEED)
+    out = resample.leakage(rows, _returns(spark, d), LEAK_TRIALS, SEED)
     return out.select("trial", "n_resolved", "n_lagged", F.round("lagged_r", 7).alias("lagged_r"), F.round("test_r2", 6).alias("test_r2"))
 
 
