@@ -104,7 +104,7 @@ def test_lexicon_scores(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, title string")
     got = {r.i: r for r in scoring.score(df).collect()}
     c = {texts[i]: r.compound for i, r in got.items()}
-    assert c["good"] == pytest.approx(1.9 / (1.9**2 + 15) ** 0.5, abs=1e-4)
+    assert c["good"] == pytest.approx(scoring.LEXICON["good"] / (scoring.LEXICON["good"] ** 2 + 15) ** 0.5, abs=1e-4)
     assert c["very good"] > c["good"] > 0 > c["not good"] and c["good!!!"] > c["good"] and c["slightly bad"] > c["bad"]
     assert c[""] == c[None] == c["the table"] == 0 and got[8].neu == 1.0 and got[0].pos == 1.0
     assert {r.model for r in got.values()} == {"lexicon"} and got[5].label == "negative"

@@ -16,9 +16,14 @@ from tidemark.sources import ingest, payloads, readers, sinks
 NOTE = "Descriptive statistics of past data; no advice."
 
 
+def _scorer(spark: SparkSession, a: argparse.Namespace, name: str = "lexicon"):
+    lexicon = scoring.load_lexicon(spark, a.lexicon) if getattr(a, "lexicon", None) else None
+    return scoring.scorer(name, lexicon, getattr(a, "model_path", None))
+
+
 def _fact(spark: SparkSession, a: argparse.Namespace, model: str = "lexicon") -> DataFrame:
     rules = readers.rules(spark, a.rules) if a.rules else text.default_rules(spark)
-    score = scoring.scorer(model)
+    score = _scorer(spark, a, model)
     return fact.build(readers.headlines(spark, a.input), rules, readers.bars(spark, a.prices_dir), lambda t: score(t).compound)
 
 
@@ -36,27 +41,45 @@ def align(spark, a):
 
 
 def score(spark, a):
-    out = scoring.score(readers.headlines(spark, a.input), a.model)
+    s = _scorer(spark, a, a.model)
+    out = readers.headlines(spark, a.input).withColumn("_s", s(F.col("title"))).select("*", "_s.*").drop("_s")
+    out = out.withColumns({"label": scoring.label(F.col("compound")), "model": F.lit(a.model)}).cache()
     out.groupBy("label").agg(F.count("*").alias("n"), F.avg("compound").alias("mean_compound")).show()
     sinks.scored(out, a.out)
 
 
+def _share(x: float | None) -> str:
+    return "-" if x is None else f"{x:.1%}"
+
+
 def evaluate(spark, a):
-    s = scoring.scorer(a.model)
-    rows = readers.evaluation_set(spark, a.eval_set).withColumn("predicted", scoring.label(s(F.col("text")).compound))
-    out = evaluation.accuracy(rows)
-    out.orderBy("overall", "category").show()
+    s = _scorer(spark, a, a.model)
+    rows = readers.evaluation_set(spark, a.eval_set).withColumn("compound", s(F.col("text")).compound).withColumn("predicted", scoring.label(F.col("compound"))).cache()
+    for r in evaluation.accuracy(rows).orderBy(F.desc("overall"), "category").collect():  # a row per category
+        print(f"{'all' if r.overall else r.category}: {r.correct} of {r.n} right, {_share(r.accuracy)}")
+    wrong = rows.filter("predicted <> expected_label")
+    print("wrong:", wrong.count())
+    for r in wrong.orderBy("id").toLocalIterator():
+        print(f"  {r.id} ({r.category}) {r.text!r}: {r.predicted} ({r.compound:+.4f}) instead of {r.expected_label}{'; ' + r.note if r.note else ''}")
     sinks.csv(rows, a.out)
 
 
 def agreement(spark, a):
-    one, two = scoring.scorer(a.model), scoring.scorer(a.second)
-    pair = lambda df, c: df.withColumns({"a": scoring.label(one(F.col(c)).compound), "b": scoring.label(two(F.col(c)).compound)})
+    if a.model == a.second:
+        raise SystemExit("agreement needs two different scorers")
+    one, two = _scorer(spark, a, a.model), _scorer(spark, a, a.second)
+    pair = lambda df, c: df.withColumns({"compound_a": one(F.col(c)).compound, "compound_b": two(F.col(c)).compound}).withColumns({"a": scoring.label(F.col("compound_a")), "b": scoring.label(F.col("compound_b"))})
     rows = pair(readers.headlines(spark, a.headlines), "title").cache()
-    evaluation.agreement(rows, "a", "b").show()
+    same = evaluation.agreement(rows, "a", "b").first()
+    print(f"{a.model} and {a.second}: {same.agreed} of {same.n} labels alike, {_share(same.rate)}")
     evaluation.confusion_grid(rows, "a", "b").show()
-    evaluation.disagreements(rows, "a", "b").select("title", "a", "b").show(50, False)
-    evaluation.compare(pair(readers.evaluation_set(spark, a.eval_set), "text"), "a", "b").show()
+    for r in evaluation.disagreements(rows, "a", "b").orderBy("seq").toLocalIterator():
+        print(f"  {r.title!r}: {r.a} ({r.compound_a:+.3f}), {r.b} ({r.compound_b:+.3f})")
+    judged = pair(readers.evaluation_set(spark, a.eval_set), "text").cache()
+    for r in evaluation.compare(judged, "a", "b").orderBy(F.desc("overall"), "category").collect():  # a row per category
+        print(f"{'all' if r.overall else r.category}: n {r.n}, {a.model} {_share(r.accuracy_a)}, {a.second} {_share(r.accuracy_b)}")
+    for r in evaluation.disagreements(judged, "a", "b").orderBy("id").toLocalIterator():
+        print(f"  {r.id} ({r.category}) {r.text!r}: {r.a}, {r.b}; expected {r.expected_label}")
     sinks.csv(rows, a.out)
 
 
@@ -127,7 +150,8 @@ def prereg(spark, a):
     rows, price = _fact(spark, a), readers.bars(spark, a.prices_dir)
     events = fact.rows(rows).select(F.col("seq").alias("event_id"), "ticker", F.col("session_date").alias("date"))
     usable, templates = quality.usable(rows, eventstudy.two_day(events, price, bars.proxy_returns(price)))
-    gate, stat = quality.registered_test(usable.cache(), scorer=a.model)
+    s = _scorer(spark, a, a.model)
+    gate, stat = quality.registered_test(usable.cache(), lambda t: s(t).compound)
     templates.show()
     gate.show(truncate=False)
     if stat is not None:
@@ -137,59 +161,103 @@ def prereg(spark, a):
 def contract(spark, a):
     rules = readers.rules(spark, a.rules) if a.rules else text.default_rules(spark)
     rows = calendar.align(text.resolve(readers.headlines(spark, a.input), rules))
-    out = corpus.contract(rows, a.ticker, a.model, a.as_of.isoformat() if a.as_of else None, a.window_days)
+    s = _scorer(spark, a, a.model)
+    rows = rows.withColumn("compound", s(F.col("title")).compound)
+    out = corpus.contract(rows, a.ticker, a.model, a.as_of.isoformat() if a.as_of else None, a.window_days, "compound")
     print(out.first().json)
     sinks.contract(out, a.out)
 
 
+def _merged(spark, a, fresh) -> None:
+    """Append to the corpus and say how much was new."""
+    fresh, before = fresh.cache(), readers.headlines(spark, a.input)
+    out = sinks.merge_headlines(before, fresh, a.out)
+    print(f"{fresh.count()} read, {out.count() - before.count()} new")
+
+
 def scrape(spark, a):
-    """Merge fetched or landed RSS feeds into the corpus."""
-    if a.live:
-        robots, limiter = ingest.RobotsCache(), ingest.RateLimiter()
-        for name, url in (x.split("=", 1) for x in a.feed):
-            payload, status = ingest.fetch_status(url, robots, limiter)
-            print(name, status)
+    """Merge fetched or landed RSS feeds into the corpus; a feed's items carry its name. 1 if one wasn't to be had."""
+    feeds, robots, limiter, code, found = [ingest.Feed.parse(x) for x in a.feed], ingest.RobotsCache(), ingest.RateLimiter(), 0, []
+    for f in feeds:
+        status = "ok"
+        if a.live:
+            payload, status = ingest.fetch_status(f.url, robots, limiter)
             if payload:
-                ingest.land(payload, a.landing, f"{name}.xml")
-    items = readers.feed(spark, f"{a.landing}/*.xml")
-    fresh = payloads.headlines_of_items(items, F.lit("feed"), F.current_timestamp()).withColumn("seq", F.monotonically_increasing_id())
-    sinks.merge_headlines(readers.headlines(spark, a.input), fresh, a.out)
+                ingest.land(payload, a.landing, f.landed(a.landing).name)
+        elif not f.landed(a.landing).exists():
+            status = "nothing landed"
+        print(f"{f.name}: {status}")
+        if status == "ok":
+            found.append(str(f.landed(a.landing)))
+        elif status != "robots_denied":  # the site's own wish is no failure
+            code = 1
+    paths = found if feeds else [f"{a.landing}/*.xml"]
+    if paths:
+        items = readers.feed(spark, paths)
+        _merged(spark, a, payloads.headlines_of_items(items, F.col("feed"), F.current_timestamp()).withColumn("seq", F.monotonically_increasing_id()))
+    return code
 
 
 def scrape_news(spark, a):
-    """Merge fetched or landed news-API responses into the corpus."""
-    if a.live:
-        robots, limiter = ingest.RobotsCache(), ingest.RateLimiter(ingest.NEWS_FLOOR)
-        for company in a.company:
-            payload, status = ingest.fetch_status(ingest.news_query_url(f'"{company}"'), robots, limiter, 15.0)
-            print(company, status)
-            if payload:
-                ingest.land(payload, a.landing, f"{company.lower().replace(' ', '_')}.json")
-    elif a.merge_offline is False:
+    """Merge fetched or landed news-API responses into the corpus. 1 if a query failed, 2 if recorded ones aren't asked for."""
+    robots, limiter, code, found, missed = ingest.RobotsCache(), ingest.RateLimiter(ingest.NEWS_FLOOR), 0, [], {}
+    if not a.live and not a.merge_offline:
         raise SystemExit(2)  # recorded responses don't go into the corpus unless asked for
-    fresh = payloads.headlines_of_articles(readers.articles(spark, a.landing), F.current_timestamp()).withColumn("seq", F.monotonically_increasing_id())
-    sinks.merge_headlines(readers.headlines(spark, a.input), fresh, a.out)
+    for company in a.company:
+        at, status = ingest.article_file(a.landing, company), "ok"
+        if a.live:
+            payload, status = ingest.fetch_status(ingest.news_query_url(f'"{company}"'), robots, limiter, 15.0, tell_limits=True)
+            if payload:
+                ingest.land(payload, a.landing, at.name)
+        elif not at.exists():
+            status = "nothing landed"
+        print(f"{company}: {status}")
+        if status == "ok":
+            found.append(str(at))
+        else:
+            missed[status] = missed.get(status, 0) + 1
+            code = code if status in ("robots_denied", "nothing landed") else 1
+    if missed:
+        print(f"{len(found)} of {len(a.company)} companies;", ", ".join(f"{n} {k}" for k, n in sorted(missed.items())))
+    if found or not a.company:
+        fresh = payloads.headlines_of_articles(readers.articles(spark, found or a.landing), F.current_timestamp())
+        _merged(spark, a, fresh.withColumn("seq", F.monotonically_increasing_id()))
+    return code
 
 
 def fetch_prices(spark, a):
-    """Fetch chart responses of URLs and upsert their bars."""
-    texts = [(t, ingest.fetch_chart(u)) for t, u in (x.split("=", 1) for x in a.chart)]
+    """Fetch charts of the given tickers (or ``ticker=url``), else of all in the rules and the index, and upsert their bars; failures are told and left out."""
+    rules = readers.rules(spark, a.rules) if a.rules else text.default_rules(spark)
+    wanted = a.chart or [*(r.ticker for r in text.known_tickers(rules).collect()), a.index]
+    texts, failed = [], []
+    for ticker, _, url in (x.partition("=") for x in wanted):
+        try:
+            texts.append((ticker, ingest.fetch_chart(url or ingest.chart_url(ticker))))
+        except ingest.PriceFetchError as e:
+            failed.append(ticker)
+            print(f"{ticker}: not fetched ({e})")
     fresh = payloads.bars_of_chart(spark.createDataFrame(texts, "ticker string, body string"), "body", F.col("ticker"))
-    sinks.bars_json(bars.upsert(readers.bars(spark, a.prices_dir), fresh), a.out)
+    out = bars.upsert(readers.bars(spark, a.prices_dir), fresh).cache()
+    for r in out.filter(F.col("ticker").isin([t for t, _ in texts])).groupBy("ticker").agg(F.count("*").alias("n"), F.min("date").alias("lo"), F.max("date").alias("hi")).orderBy("ticker").collect():  # a row per ticker
+        print(f"{r.ticker}: {r.n} bars, {r.lo} to {r.hi}")
+    print(f"{len(texts)} of {len(wanted)} tickers fetched")
+    sinks.bars_json(out, a.out)
+    return 0
 
 
-_PRICED = ("--input", "--prices-dir", "--rules")
+_PRICED = ("--input", "--prices-dir", "--rules", "--lexicon")
+_SCORED = ("--model", "--lexicon", "--model-path")
 COMMANDS = {
-    "align": (align, ("--input", "--out")), "score": (score, ("--input", "--out", "--model")), "evaluate": (evaluate, ("--eval-set", "--out", "--model")),
-    "agreement": (agreement, ("--headlines", "--eval-set", "--out", "--model", "--second")), "correlate": (correlate, (*_PRICED, "--out", "--event-threshold")),
+    "align": (align, ("--input", "--out")), "score": (score, ("--input", "--out", *_SCORED)), "evaluate": (evaluate, ("--eval-set", "--out", *_SCORED)),
+    "agreement": (agreement, ("--headlines", "--eval-set", "--out", *_SCORED, "--second")), "correlate": (correlate, (*_PRICED, "--out", "--event-threshold")),
     "regress": (regression, (*_PRICED, "--out", "--train-frac")), "overlay": (overlay, (*_PRICED, "--out-dir", "--event-threshold", "--window-before", "--window-after", "--index")),
     "audit": (audit, (*_PRICED, "--n-perm", "--seed")), "leakage-audit": (leakage, (*_PRICED, "--trials", "--seed", "--train-frac")), "robustness": (robustness, (*_PRICED, "--n-perm", "--seed")),
-    "prereg": (prereg, (*_PRICED, "--model")), "contract": (contract, ("--input", "--rules", "--ticker", "--model", "--as-of", "--window-days", "--out")),
+    "prereg": (prereg, (*_PRICED, "--model", "--model-path")), "contract": (contract, ("--input", "--rules", "--ticker", *_SCORED, "--as-of", "--window-days", "--out")),
     "scrape": (scrape, ("--input", "--out", "--landing", "--feed", "--live")), "scrape-news": (scrape_news, ("--input", "--out", "--landing", "--company", "--live", "--merge-offline")),
-    "fetch-prices": (fetch_prices, ("--prices-dir", "--chart", "--out")),
+    "fetch-prices": (fetch_prices, ("--prices-dir", "--chart", "--out", "--rules", "--index")),
 }
 _OPTIONS = {
-    "--model": {"default": "lexicon"}, "--second": {"default": "lexicon"}, "--event-threshold": {"type": float, "default": 0.30}, "--train-frac": {"type": float, "default": 0.7},
+    "--model": {"default": "lexicon"}, "--second": {"default": "sum"}, "--lexicon": {}, "--model-path": {}, "--event-threshold": {"type": float, "default": 0.30}, "--train-frac": {"type": float, "default": 0.7},
     "--window-before": {"type": int, "default": 5}, "--window-after": {"type": int, "default": 1}, "--index": {"default": "^NSEI"}, "--n-perm": {"type": int, "default": 2000},
     "--trials": {"type": int, "default": 500}, "--seed": {"type": int, "default": 0}, "--as-of": {"type": date.fromisoformat}, "--window-days": {"type": int, "default": 7}, "--rules": {},
     "--feed": {"action": "append", "default": []}, "--company": {"action": "append", "default": []}, "--chart": {"action": "append", "default": []}, "--live": {"action": "store_true"}, "--merge-offline": {"action": "store_true"},

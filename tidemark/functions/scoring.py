@@ -1,13 +1,15 @@
 """Scorers: text to scores, as columns.
 
-``SCORERS`` maps a name to a function of a text column that gives a struct (neg, neu, pos, compound).
-The lexicon scorer composes array functions over a small word table of our own (or the user's file);
-the model scorer is an Arrow UDF over batches, with the model loaded once per worker, and says so
-clearly where its runtime is missing. Output is never labelled with a scorer that didn't run.
+``SCORERS`` maps a name to a maker of a function of a text column that gives a struct (neg, neu, pos, compound).
+The lexicon scorer is an Arrow UDF over batches with a word table of our own (or the user's file) as a hash table;
+the model scorer is one too, with the model loaded once per worker, and says so clearly where its runtime is missing.
+Output is never labelled with a scorer that didn't run.
 """
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -17,16 +19,17 @@ from pyspark.sql import functions as F
 POSITIVE_FROM, NEGATIVE_TO, NORMALISER = 0.05, -0.05, 15.0
 BOOST, NEGATE, CAPITALS, BANG, MAX_BANGS = 0.293, -0.74, 0.733, 0.292, 4
 
-#: Word valences of our own, from -4 to 4.
+#: Words of financial news with valences of our own, in halves from -3 to 3.
 LEXICON = {
-    "good": 1.9, "great": 3.1, "best": 3.2, "better": 1.9, "strong": 2.1, "gain": 2.0, "gains": 2.0, "profit": 1.9, "profits": 1.9, "win": 2.6, "wins": 2.6,
-    "success": 2.6, "successful": 2.6, "share": 1.2, "shares": 1.2, "growth": 1.6, "boost": 1.7, "boosts": 1.4, "rally": 1.5, "surge": 1.6, "happy": 2.7,
-    "confident": 2.2, "approval": 2.0, "approved": 1.8, "support": 1.7, "top": 0.8, "hope": 1.9, "opportunity": 1.8, "beat": 1.2, "upgrade": 1.6, "record": 0.9,
-    "bad": -2.5, "worse": -2.1, "worst": -3.1, "weak": -1.9, "loss": -1.3, "losses": -1.7, "lose": -1.6, "lost": -1.3, "fall": -1.1, "falls": -1.1, "drop": -1.1,
-    "drops": -1.1, "plunge": -2.0, "crash": -2.4, "fear": -2.2, "fears": -1.8, "risk": -1.1, "risks": -1.1, "fraud": -2.8, "crisis": -3.1, "debt": -1.5, "fail": -2.5,
-    "fails": -1.8, "failure": -2.3, "cut": -1.1, "cuts": -1.2, "warning": -1.4, "warns": -0.4, "penalty": -2.0, "ban": -2.6, "trash": -2.3, "worthless": -1.9, "disgusting": -2.4, "downgrade": -1.6,
+    "good": 2.0, "great": 3.0, "best": 3.0, "better": 1.5, "strong": 2.0, "gain": 1.5, "gains": 1.5, "profit": 2.0, "profits": 2.0, "win": 2.5, "wins": 2.5,
+    "success": 2.5, "successful": 2.5, "share": 0.5, "shares": 0.5, "growth": 2.0, "boost": 1.5, "boosts": 1.5, "rally": 2.0, "surge": 2.0, "happy": 2.5,
+    "confident": 2.0, "approval": 1.5, "approved": 1.5, "support": 1.0, "top": 1.0, "hope": 1.0, "opportunity": 1.5, "beat": 1.5, "upgrade": 2.0, "record": 1.0,
+    "bad": -2.0, "worse": -2.5, "worst": -3.0, "weak": -1.5, "loss": -2.0, "losses": -2.0, "lose": -1.5, "lost": -1.5, "fall": -1.0, "falls": -1.0, "drop": -1.0,
+    "drops": -1.0, "plunge": -2.5, "crash": -3.0, "fear": -1.5, "fears": -1.5, "risk": -1.0, "risks": -1.0, "fraud": -3.0, "crisis": -2.5, "debt": -0.5, "fail": -2.0,
+    "fails": -2.0, "failure": -2.5, "cut": -1.0, "cuts": -1.0, "warning": -1.5, "warns": -1.0, "penalty": -1.5, "ban": -1.5, "trash": -2.0, "worthless": -3.0, "disgusting": -2.5, "downgrade": -2.0,
 }
 BOOSTERS = {"very": BOOST, "extremely": BOOST, "highly": BOOST, "hugely": BOOST, "most": BOOST, "sharply": BOOST, "slightly": -BOOST, "somewhat": -BOOST, "marginally": -BOOST, "barely": -BOOST}
+_EDGES = re.compile(r"^[\W_]+|[\W_]+$")  # other than letters and digits
 NEGATIONS = ("not", "no", "never", "none", "without", "cannot", "can't", "don't", "doesn't", "didn't", "isn't", "won't", "wasn't")
 
 
@@ -40,38 +43,53 @@ def _table(values: dict[str, float]) -> Column:
     return F.create_map(*(F.lit(x) for pair in sorted(values.items()) for x in pair))
 
 
-def lexicon_score(text: Column, lexicon: dict[str, float] | None = None) -> Column:
-    """Struct (neg, neu, pos, compound): valences with boosters, negation in the three words before, capitals and exclamation marks."""
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: F.length(w) > 0)
-    bare = F.transform(words, lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
-    valence, boost = _table(lexicon or LEXICON), _table(BOOSTERS)
-    low = F.transform(bare, F.lower)
-    shouted = lambda w: (F.length(w) > 1) & (F.upper(w) == w) & (F.lower(w) != w)
-    mixed = F.exists(bare, shouted) & ~F.forall(bare, lambda w: shouted(w) | (F.length(w) <= 1))
-    near = lambda i, k: F.coalesce(F.get(low, i - k), F.lit(""))
-
-    def one(w: Column, i: Column) -> Column:
-        v = F.coalesce(F.try_element_at(valence, F.lower(w)), F.lit(0.0))
-        v = F.when(mixed & shouted(w), v + F.signum(v) * CAPITALS).otherwise(v)
-        pushed = v
-        for k, fade in ((1, 1.0), (2, 0.95), (3, 0.9)):
-            pushed = pushed + F.signum(v) * fade * F.coalesce(F.try_element_at(boost, near(i, k)), F.lit(0.0))
-        negated = near(i, 1).isin(*NEGATIONS) | near(i, 2).isin(*NEGATIONS) | near(i, 3).isin(*NEGATIONS)
-        return F.when(v == 0, F.lit(0.0)).when(negated, pushed * NEGATE).otherwise(pushed)
-
-    values = F.transform(bare, one)
-    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
-    bangs = F.least(F.regexp_count(F.coalesce(text, F.lit("")), F.lit("!")), F.lit(MAX_BANGS)) * BANG
-    summed = total(values)
-    summed = summed + F.signum(summed) * bangs
-    plus = total(F.transform(values, lambda v: F.when(v > 0, v + 1).otherwise(0.0)))
-    minus = total(F.transform(values, lambda v: F.when(v < 0, 1 - v).otherwise(0.0)))
-    plain = total(F.transform(values, lambda v: F.when(v == 0, 1.0).otherwise(0.0)))
-    plus, minus = plus + F.when(plus > minus, bangs).otherwise(0.0), minus + F.when(minus > plus, bangs).otherwise(0.0)
+def _half_up(x: float, places: int) -> float:
+    scale = 10.0**places
+    return math.copysign(math.floor(abs(x) * scale + 0.5) / scale, x) if x else 0.0
+
+
+def score_words(text: str | None, lexicon: dict[str, float]) -> tuple[float, float, float, float]:
+    """(neg, neu, pos, compound): valences with boosters, negation in the three words before, capitals and exclamation marks."""
+    bare = [_EDGES.sub("", w) for w in re.split(r"[ \t\n\x0b\f\r]+", text or "") if w]
+    low = [w.lower() for w in bare]
+    shouted = [len(w) > 1 and w.upper() == w and w.lower() != w for w in bare]
+    mixed = any(shouted) and not all(s or len(w) <= 1 for s, w in zip(shouted, bare, strict=True))
+    total = plus = minus = 0.0
+    plain = 0
+    for i, w in enumerate(low):
+        v = lexicon.get(w, 0.0)
+        if not v:
+            plain += 1
+            continue
+        sign = math.copysign(1.0, v)
+        if mixed and shouted[i]:
+            v += sign * CAPITALS
+        near = [low[i - k] if i >= k else "" for k in (1, 2, 3)]
+        for word, fade in zip(near, (1.0, 0.95, 0.9), strict=True):
+            v += sign * fade * BOOSTERS.get(word, 0.0)
+        if any(word in NEGATIONS for word in near):
+            v *= NEGATE
+        total += v
+        plus, minus = plus + (v + 1 if v > 0 else 0.0), minus + (1 - v if v < 0 else 0.0)
+        plain += v == 0
+    bangs = min((text or "").count("!"), MAX_BANGS) * BANG
+    total += math.copysign(bangs, total) if total else 0.0
+    plus, minus = plus + (bangs if plus > minus else 0.0), minus + (bangs if minus > plus else 0.0)
     whole = plus + minus + plain
-    share = lambda x: F.round(F.coalesce(F.try_divide(x, whole), F.lit(0.0)), 3)
-    compound = F.greatest(F.least(F.round(summed / F.sqrt(summed * summed + NORMALISER), 4), F.lit(1.0)), F.lit(-1.0))
-    return F.struct(share(minus).alias("neg"), share(plain).alias("neu"), share(plus).alias("pos"), compound.alias("compound"))
+    share = lambda x: _half_up(x / whole, 3) if whole else 0.0
+    compound = max(-1.0, min(1.0, _half_up(total / math.sqrt(total * total + NORMALISER), 4)))
+    return share(minus), share(plain), share(plus), compound
+
+
+def lexicon_score(text: Column, lexicon: dict[str, float] | None = None) -> Column:
+    """Struct (neg, neu, pos, compound) of :func:`score_words`, in Arrow batches."""
+    words = lexicon or LEXICON
+
+    @F.pandas_udf("neg double, neu double, pos double, compound double")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([score_words(t, words) for t in texts], columns=["neg", "neu", "pos", "compound"])
+
+    return run(text)
 
 
 def token_valence(text: Column, lexicon: dict[str, float] | None = None) -> Column:
@@ -137,17 +155,30 @@ def transformer(model: str) -> Callable[[Column], Column]:
     return model_score(load)
 
 
-SCORERS: dict[str, Callable[[Column], Column]] = {"lexicon": lexicon_score}
+def summed_score(text: Column, lexicon: dict[str, float] | None = None) -> Column:
+    """The same struct from the plain sum of valences: shares are those of the sign."""
+    c = F.round(token_valence(text, lexicon), 4)
+    return F.struct((c < 0).cast("double").alias("neg"), (c == 0).cast("double").alias("neu"), (c > 0).cast("double").alias("pos"), c.alias("compound"))
+
+
+#: Name to a maker of the scorer from its options: ``lexicon`` (a word table) and ``path`` (a model's local files).
+SCORERS: dict[str, Callable[[dict[str, float] | None, str | None], Callable[[Column], Column]]] = {
+    "lexicon": lambda lexicon, path: lambda t: lexicon_score(t, lexicon),
+    "sum": lambda lexicon, path: lambda t: summed_score(t, lexicon),
+    "model": lambda lexicon, path: transformer(path),
+}
 
 
-def scorer(name: str) -> Callable[[Column], Column]:
-    if name in SCORERS:
-        return SCORERS[name]
-    raise ScorerUnavailable(f"no scorer {name!r} is registered; there are: {', '.join(sorted(SCORERS))}")
+def scorer(name: str, lexicon: dict[str, float] | None = None, path: str | None = None) -> Callable[[Column], Column]:
+    if name not in SCORERS:
+        raise ScorerUnavailable(f"no scorer {name!r} is registered; there are: {', '.join(sorted(SCORERS))}")
+    if name == "model" and not path:
+        raise ScorerUnavailable("the model scorer needs the path of a model")
+    return SCORERS[name](lexicon, path)
 
 
-def score(df: DataFrame, name: str = "lexicon", text: str = "title") -> DataFrame:
+def score(df: DataFrame, name: str = "lexicon", text: str = "title", lexicon: dict[str, float] | None = None, path: str | None = None) -> DataFrame:
     """``df`` with neg, neu, pos, compound, label and the name of the scorer that ran."""
-    out = df.withColumn("_s", scorer(name)(F.col(text)))
+    out = df.withColumn("_s", scorer(name, lexicon, path)(F.col(text)))
     out = out.withColumns({k: F.col(f"_s.{k}") for k in ("neg", "neu", "pos", "compound")}).drop("_s")
     return out.withColumns({"label": label(F.col("compound")), "model": F.lit(name)})

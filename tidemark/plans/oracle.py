@@ -137,8 +137,7 @@ def _of_rule(k: int) -> str:
 
 _RES = f"""rs AS (SELECT seq, published_at, {_of_rule(2)} AS company, {_of_rule(3)} AS ticker, CASE WHEN rule = -1 THEN 'no_match' WHEN {_of_rule(3)} IS NULL THEN 'unresolved' ELSE 'resolved' END AS status FROM (SELECT *, {_RULE} AS rule FROM h))"""
 _TI = "ti AS (SELECT seq, ([" + ", ".join(f"'{t}'" for t in Q._TITLES) + f"])[seq % {len(Q._TITLES)} + 1] AS title FROM h)"
-_VERBS = "|".join(text._VERBS)
-_MOVE = rf"regexp_matches(title, '(?i)\b(?:{_VERBS})\b[^%]{{0,40}}\d+(?:\.\d+)?\s?%')"
+_MOVE = f"regexp_matches(title, '(?i){text.MOVE_VERBS}{text.MOVE_PERCENT}')"
 _TEMPLATE = "regexp_matches(title, '(?i)Share Price Highlights:.*Stock Price History')"
 _SCR = "sp AS (SELECT link, 't' || (seq % 1500) AS title, published_at + to_hours(CAST(seq % 50 - 1 AS INTEGER)) AS scraped_at, CASE WHEN seq % 10 = 0 THEN CAST(date_trunc('hour', published_at) AS TIMESTAMP) ELSE published_at END AS published_at FROM h)"
 _ZSUM = "0.8416212335729143 + 1.9599639845400538"

@@ -16,11 +16,34 @@ AGENT, FLOOR, NEWS_FLOOR = "tidemark/0.1", 3.0, 15.0
 NEWS_API = "https://api.gdeltproject.org/api/v2/doc/doc"
 
 
+CHART_API = "https://query1.finance.yahoo.com/v8/finance/chart"
+
+
 @dataclass(frozen=True)
 class Feed:
+    """A named feed; what was fetched of it lies in the landing folder under its name."""
+
     name: str
     url: str
-    fixture: str
+
+    @classmethod
+    def parse(cls, text: str) -> Feed:
+        """Of ``name=url``."""
+        name, _, url = text.partition("=")
+        return cls(name, url)
+
+    def landed(self, folder: str) -> Path:
+        return Path(folder) / f"{self.name}.xml"
+
+
+def article_file(folder: str, company: str) -> Path:
+    """Where the news-API response about a company is kept."""
+    return Path(folder) / f"{company.lower().replace(' ', '_')}.json"
+
+
+def chart_url(ticker: str, span: str = "1mo") -> str:
+    """Daily bars of a ticker."""
+    return f"{CHART_API}/{urllib.parse.quote(ticker)}?interval=1d&range={span}"
 
 
 class RobotsDenied(RuntimeError):
@@ -97,12 +120,14 @@ def polite_get(url: str, robots: RobotsCache, limiter: RateLimiter, timeout: flo
     return fetch(url, timeout)
 
 
-def fetch_status(url: str, robots: RobotsCache, limiter: RateLimiter, timeout: float = 10.0, fetch: Callable[[str, float], bytes] = _open) -> tuple[bytes | None, str]:
-    """(payload, status): ok, robots_denied, robots_unreachable or fetch_failed."""
+def fetch_status(url: str, robots: RobotsCache, limiter: RateLimiter, timeout: float = 10.0, fetch: Callable[[str, float], bytes] = _open, tell_limits: bool = False) -> tuple[bytes | None, str]:
+    """(payload, status): ok, robots_denied, robots_unreachable, fetch_failed or, if asked for, rate_limited (HTTP 429)."""
     try:
         return polite_get(url, robots, limiter, timeout, fetch), "ok"
     except RobotsDenied:
         return None, "robots_unreachable" if robots.status(url) == "unreachable" else "robots_denied"
+    except urllib.error.HTTPError as e:
+        return None, "rate_limited" if e.code == 429 and tell_limits else "fetch_failed"
     except OSError:
         return None, "fetch_failed"
 

@@ -42,12 +42,13 @@ def scored(spark: SparkSession, path: str, model: bool = False) -> DataFrame:
     return spark.read.options(**_CSV).schema(schema.MODEL_SCORED if model else schema.LEXICON_SCORED).csv(path)
 
 
-def articles(spark: SparkSession, path: str) -> DataFrame:
+def articles(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """News-API responses (JSON, one object a file) with the slug of their file name."""
     raw = spark.read.schema(schema.ARTICLES).option("multiLine", "true").json(path)
     return raw.select("*", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.json)?$", 1).alias("slug"))
 
 
-def feed(spark: SparkSession, path: str) -> DataFrame:
-    """RSS 2.0 items (title, link, pubDate as written)."""
-    return spark.read.format("xml").option("rowTag", "item").schema("title string, link string, pubDate string").load(path)
+def feed(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """RSS 2.0 items (title, link, pubDate as written) with ``feed``, the name of their file, which is that of the feed."""
+    items = spark.read.format("xml").option("rowTag", "item").schema("title string, link string, pubDate string").load(path)
+    return items.select("*", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.xml)?$", 1).alias("feed"))

@@ -30,7 +30,9 @@ def headlines(df: DataFrame, path: str) -> None:
 
 def corpus_parquet(df: DataFrame, path: str) -> None:
     """Native corpus, partitioned by publication day."""
-    df.withColumn("day", F.to_date("published_at")).repartition("day").sortWithinPartitions("published_at").write.mode("overwrite").partitionBy("day").parquet(path)
+    keyed = df.withColumn("day", F.to_date("published_at"))
+    # by hour within the day, so that a day of very many rows is several tasks and files
+    keyed.repartition("day", F.date_trunc("HOUR", "published_at")).sortWithinPartitions("day", "published_at").write.mode("overwrite").partitionBy("day").parquet(path)
 
 
 def merge_headlines(existing: DataFrame, fresh: DataFrame, path: str) -> DataFrame:
@@ -41,9 +43,9 @@ def merge_headlines(existing: DataFrame, fresh: DataFrame, path: str) -> DataFra
 
 
 def bars_json(df: DataFrame, path: str) -> None:
-    """One JSON line a ticker: {ticker, bars: [{date, open, close}]}, by date."""
+    """One JSON document and file a ticker: {ticker, bars: [{date, open, close}]}, by date."""
     out = df.groupBy("ticker").agg(F.sort_array(F.collect_list(F.struct("date", "open", "close"))).alias("bars"))  # a ticker's trading days
-    out.write.mode("overwrite").json(path)
+    out.write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)
 
 
 def bars_parquet(df: DataFrame, path: str) -> None:
