@@ -5,9 +5,11 @@ import os
 import pytest
 
 from tests.compare import compare, connect
-from tidemark.plans.oracle import ORACLE
+from tidemark.plans import exchange
+from tidemark.plans.oracle import ORACLE as ENGINE
 from tidemark.plans.queries import QUERIES
 
+ORACLE = ENGINE | exchange.ORACLE
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
@@ -26,8 +28,8 @@ def test_all_bars_are_compounded(spark):
     assert got.count() == QUERIES["q_bars"](spark, SF).count() and got.filter("log_growth is null").count() == 0
 
 
-def test_only_the_rule_based_scorer_lacks_sql():
-    assert set(QUERIES) - set(ORACLE) == {"q_lexicon_score"}
+def test_all_have_sql():
+    assert set(QUERIES) == set(ORACLE)
 
 
 def test_entry_and_names():
