@@ -200,6 +200,9 @@ def test_shards_round_trip(spark, tmp_path):
     assert all(e.encoding.decode(back[i][:-1]) == (t or "") and back[i][-1] == e.end for i, t in rows if i is not None and i != 13)
     digest = {r.slot: r.record_crc32 for r in tokens.digests(placed, length=32).collect()}
     assert len(digest) == len(got)
+    again = tokens.shard_files(util.docs(spark, rows).selectExpr("*", "1 as slot", "2 as shard", "3 as ids", "4 as part"), f"{tmp_path}/again", length=32, shard_rows=100).collect()
+    assert {r.slot: r.record_crc32 for r in again} == digest and [r.byte_offset for r in sorted(again, key=lambda r: r.slot)] == [s % 100 * 68 for s in range(len(got))]
+    assert tokens.shard_files(util.docs(spark, []), f"file:{tmp_path}/none", length=32).count() == 0
     assert tokens.materialise(util.docs(spark, [])).count() == 0
 
 

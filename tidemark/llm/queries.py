@@ -39,9 +39,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.llm import tokens
+    from tidemark.llm import store, tokens
 
-    return tokens.digests(tokens.materialise(_read(spark, sf_dir, "documents")))
+    # written out, so that the files are written once however often the result is read
+    return store.table(tokens.shard_files(_read(spark, sf_dir, "documents"), store.new_path(spark, "shards")), "digests")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

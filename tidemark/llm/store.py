@@ -29,11 +29,16 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own below the shared folder."""
+    return f"{shared_folder(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+
+
+def table(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` once into the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = new_path(spark, name)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -173,10 +173,36 @@ def feistel(x: np.ndarray, size: int, key: int, rounds: int = 6) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _packed(column: pa.Array) -> pa.Array:
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=1).compress
+    return pa.array([pack(x) for x in column.to_pylist()], pa.binary())
+
+
+def _unpacked(column: pa.Array) -> list[bytes]:
+    import zstandard
+
+    return [zstandard.ZstdDecompressor().decompress(x) for x in column.to_pylist()]
+
+
+PLACED = "slot long, shard long, byte_offset long, doc_id long, piece int, n_tokens int, ids binary"
+
+
 def materialise(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH, shard_rows: int = SHARD_ROWS, key: int = KEY) -> DataFrame:
-    """slot, shard, byte_offset, doc_id, piece, n_tokens and record of each sequence; shards lie whole and sorted in partitions."""
+    """slot, shard, byte_offset, doc_id, piece, n_tokens and ids of each sequence; shards lie whole and sorted in partitions."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.set_column(b.schema.get_field_index("ids"), "ids", pa.array(_unpacked(b.column("ids")), pa.binary()))
+
+    return _placed(docs, vocabulary, length, shard_rows, key).mapInArrow(unpack, PLACED)
+
+
+def _placed(docs: DataFrame, vocabulary: str, length: int, shard_rows: int, key: int) -> DataFrame:
+    """:func:`materialise` with each sequence's ids compressed, as they are shuffled."""
     spark = docs.sparkSession
-    cut = store.table(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sequences(vocabulary, length), SEQUENCES), "sequences")
+    cut = store.table(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sequences(vocabulary, length), SEQUENCES), "sequences", "zstd")
     parts = sorted((r.part, r.n) for r in cut.groupBy("part").agg(F.count("*").alias("n")).collect())  # a row per task of the pass above
     total = sum(n for _, n in parts)
     first = np.zeros(max((p for p, _ in parts), default=0) + 1, dtype=np.int64)
@@ -188,9 +214,9 @@ def materialise(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LEN
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             slot = feistel(shared.value[b.column("part").to_numpy()] + b.column("idx").to_numpy(), total, key)
-            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(slot // shard_rows), pa.array(slot % shard_rows * stride), *(b.column(k) for k in ("doc_id", "piece", "n_tokens", "ids"))], names=["slot", "shard", "byte_offset", "doc_id", "piece", "n_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(slot // shard_rows), pa.array(slot % shard_rows * stride), *(b.column(k) for k in ("doc_id", "piece", "n_tokens")), _packed(b.column("ids"))], names=["slot", "shard", "byte_offset", "doc_id", "piece", "n_tokens", "ids"])
 
-    out = cut.mapInArrow(place, "slot long, shard long, byte_offset long, doc_id long, piece int, n_tokens int, ids binary")
+    out = cut.mapInArrow(place, PLACED)
     shards = -(-total // shard_rows)
     each = max(-(-shards // MAX_TASKS), SHARDS_A_TASK)
     return out.repartitionById(max(1, -(-shards // each)), F.expr(f"cast(shard div {each} as int)")).sortWithinPartitions("slot")
@@ -214,51 +240,83 @@ def digests(placed: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGT
     return placed.mapInArrow(run, "slot long, shard long, byte_offset long, doc_id long, piece int, n_tokens int, record_crc32 long")
 
 
-def write_shards(placed: DataFrame, path: str, vocabulary: str = VOCABULARY, length: int = LENGTH) -> DataFrame:
-    """Write ``shard-<number>.bin`` files under ``path`` (any URI that pyarrow opens); (shard, records, bytes) of each.
+def _filesystem(path: str):
+    """pyarrow's file system for a URI or a path, and the path in it."""
+    from pyarrow import fs
+
+    where = path.replace("s3a://", "s3://", 1)
+    if where.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + where.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(where)
+
+
+DIGEST = "slot long, shard long, byte_offset long, doc_id long, piece int, n_tokens int, record_crc32 long"
 
-    A file is written under a name of its own and moved into place, so a task that is run again after
-    a lost executor replaces it by the same bytes.
+
+def shard_files(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, length: int = LENGTH, shard_rows: int = SHARD_ROWS, key: int = KEY) -> DataFrame:
+    """Materialise ``docs`` as shard files under ``path`` and read them back: the digest of each record as it lies in its file.
+
+    Token counts and CRC-32 come from the files; a record whose count isn't that of its sequence is an error.
     """
+    return _written(_placed(docs, vocabulary, length, shard_rows, key), path, vocabulary, length, _unpacked).select(*(x.split()[0] for x in DIGEST.split(", ")))
+
+
+def write_shards(placed: DataFrame, path: str, vocabulary: str = VOCABULARY, length: int = LENGTH) -> DataFrame:
+    """Write ``shard-<number>.bin`` files under ``path`` (any URI that pyarrow opens); (shard, records, bytes) of each."""
+    out = _written(placed, path, vocabulary, length, lambda c: c.to_pylist())
+    return out.groupBy("shard").agg(F.count("*").alias("records"), (F.count("*") * (4 + 2 * length)).alias("bytes"))
+
+
+def _written(placed: DataFrame, path: str, vocabulary: str, length: int, plain) -> DataFrame:
+    """Writes each shard under a name of its own, moves it into place and reads it back, so a task that is run again after a lost
+    executor replaces it by the same bytes. One shard at a time is in memory."""
+    stride, names = 4 + 2 * length, ["slot", "shard", "byte_offset", "doc_id", "piece", "n_tokens", "record_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
+        import zlib
 
-        from pyarrow import fs
-
-        where, root = fs.FileSystem.from_uri(path)
+        where, root = _filesystem(path)
         _, end = _encoding(vocabulary)
-        done, now, out, part = [], None, None, ""
+        shard, part, out, rows = None, "", None, []
 
-        def close():
+        def close() -> pa.RecordBatch:
             out.close()
-            where.move(part, f"{root}/shard-{now:08d}.bin")
+            final = f"{root}/shard-{shard:08d}.bin"
+            where.move(part, final)
+            with where.open_input_file(final) as f:
+                got = f.read()
+            counts = [int.from_bytes(got[i : i + 4], "little") for i in range(0, len(got), stride)]
+            crc = [zlib.crc32(got[i : i + stride]) for i in range(0, len(got), stride)]
+            table = pa.Table.from_batches(rows)
+            if len(got) != stride * table.num_rows or counts != table.column("n_tokens").to_pylist():
+                raise OSError(f"{final} isn't what was written")
+            cols = [table.column(k).combine_chunks() for k in names[:-1]]
+            return pa.RecordBatch.from_arrays([*cols, pa.array(crc, pa.int64())], names=names)
 
         for b in batches:
-            for shard, record in zip(b.column("shard").to_pylist(), records(b.column("ids").to_pylist(), length, end), strict=True):
-                if shard != now:
+            ids, shards = plain(b.column("ids")), b.column("shard").to_numpy()
+            slim = b.select(names[:-1])
+            begin = np.flatnonzero(np.concatenate([[True], shards[1:] != shards[:-1]])) if len(shards) else []
+            for i, j in zip(begin, [*begin[1:], len(shards)]):
+                if shards[i] != shard:
                     if out:
-                        close()
-                    now, part = shard, f"{root}/.shard-{shard:08d}-{os.urandom(6).hex()}"
+                        yield close()
+                    shard, rows = int(shards[i]), []
+                    part = f"{root}/.shard-{shard:08d}-{os.urandom(6).hex()}"
                     where.create_dir(root)
                     out = where.open_output_stream(part)
-                    done.append([shard, 0, 0])
-                out.write(record)
-                done[-1][1] += 1
-                done[-1][2] += len(record)
+                rows.append(slim.slice(int(i), int(j - i)))
+                out.write(b"".join(records(ids[i:j], length, end)))
         if out:
-            close()
-        cols = list(zip(*done, strict=True)) or [[], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=["shard", "records", "bytes"])
+            yield close()
 
-    return placed.mapInArrow(run, "shard long, records long, bytes long")
+    return placed.mapInArrow(run, DIGEST)
 
 
 def read_shard(path: str, shard: int, length: int = LENGTH, start: int = 0) -> Iterator[np.ndarray]:
     """Sequences of a shard from record ``start`` on."""
-    from pyarrow import fs
-
-    where, root = fs.FileSystem.from_uri(path)
+    where, root = _filesystem(path)
     stride = 4 + 2 * length
     with where.open_input_file(f"{root}/shard-{shard:08d}.bin") as f:
         f.seek(start * stride)
