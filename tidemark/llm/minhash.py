@@ -35,7 +35,7 @@ from tidemark.llm import kernel as K
 
 SHINGLE, PERCENT = 3, 85
 MINIMA, MISSED = 192, 3e-7
-BLOCK, BLOCK_BYTES = 192, 1 << 19  # classes of a bucket, and bytes of their texts, compared with as many others at once
+BLOCK, BLOCK_BYTES = 512, 1 << 20  # classes of a bucket, and bytes of their texts, compared with as many others at once
 _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(0, 2**32, 1024, dtype=np.uint64).astype(np.uint32)) | np.uint32(1)
 _B = _rng.integers(0, 2**32, 1024, dtype=np.uint64).astype(np.uint32)
