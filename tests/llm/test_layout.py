@@ -288,3 +288,51 @@ def test_admitted_moves_keep_quotas():
         assert all(0 < x <= want[k] for k, x in got.items())
         for b in range(n):
             assert sum(x for (_, j), x in got.items() if j == b) - sum(x for (i, _), x in got.items() if i == b) <= room[b]
+
+
+def quoting(rng, conversations=40, turns=14):
+    """Messages that quote whole lines of earlier ones, some of them at two levels and with attributions."""
+    rows = []
+    for c in range(conversations):
+        said = []
+        for t in range(turns):
+            own = [f"line {k} of turn {t} in talk {c} {rng.choice(['today', 'again', 'at last'])}" for k in range(rng.randint(1, 3))] + ["the same words in every message"] * (rng.random() < 0.3)
+            quotes = []
+            if t and rng.random() < 0.8:
+                at = rng.randrange(t)
+                quotes = [f"> {x}" for x in rng.sample(said[at], rng.randint(1, len(said[at])))]
+                if rng.random() < 0.3:
+                    quotes.insert(0, f"> > {rng.choice(said[rng.randrange(t)])}")
+                if rng.random() < 0.3:
+                    quotes.insert(0, f"On day {at}, someone wrote:")
+            rows.append((c, t * 40, "ab"[t % 2], "\n".join(quotes + own)))
+            said.append(own)
+    return rows + [(0, 999, None, None), (1, 998, "a", ""), (2, 997, "b", "> said by nobody here at all\nhello")]
+
+
+def test_registered_query_on_planted_quotes_equals_its_sql(spark, tmp_path):
+    import duckdb
+
+    from tests.compare import compare
+    from tidemark.llm import queries
+
+    rows = [r for r in quoting(random.Random(12)) if r[1] != 997]  # whole lines decide for all that quote
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    assert compare(spark, con, queries.QUERIES["op3_conversations"], queries.ORACLE_SQL["op3_conversations"], str(tmp_path)) is None
+    got = queries.QUERIES["op3_conversations"](spark, str(tmp_path)).collect()
+    linked = [r for r in got if r.reply_to is not None]
+    assert len(linked) > 350 and max(r.depth for r in got) > 4 and max(r.max_level for r in got) == 2
+    # and against plain Python: the latest earlier message that wrote most of the quoted lines of the least level
+    wrote = defaultdict(dict)
+    for c, t, _, text in rows:
+        for line in (text or "").split("\n"):
+            if not line.startswith(">") and not line.endswith("wrote:") and line:
+                wrote[c].setdefault(line, []).append(t)
+    parent = {(r.conv_id, r.turn): r.reply_to for r in got}
+    for c, t, _, text in rows:
+        asked = [x[2:] for x in (text or "").split("\n") if x.startswith("> ") and not x.startswith("> >")]
+        votes = Counter(max((s for s in wrote[c].get(x, []) if s < t), default=None) for x in asked)
+        votes.pop(None, None)
+        assert parent[c, t] == (max(votes, key=lambda s: (votes[s], s)) if votes else None)

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -29,6 +31,27 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables made inside are deleted at the end, but those whose path is taken out of the list that it gives."""
+    made: list[str] = []
+    _scopes.append(made)
+    try:
+        yield made
+    finally:
+        _scopes.remove(made)
+        for path in made:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path of its own below the shared folder."""
     return f"{shared_folder(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
@@ -39,17 +62,16 @@ def table(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", compression).parquet(path)
+    for made in _scopes:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_table(df: DataFrame) -> None:
     """Delete a table made by :func:`table` that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for uri in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/tidemark/" in uri:
-            path = jvm.org.apache.hadoop.fs.Path(uri)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(df.sparkSession, uri)
 
 
 #: 2**26 bits (8 MB) at most, whatever the number of keys: beyond about 10**7 keys it only lets more through.
