@@ -41,8 +41,7 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm import store, tokens
 
-    # written out, so that the files are written once however often the result is read
-    return store.table(tokens.shard_files(_read(spark, sf_dir, "documents"), store.new_path(spark, "shards")), "digests")
+    return tokens.shard_files(_read(spark, sf_dir, "documents"), store.new_path(spark, "shards"))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,11 +57,22 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Write ``df`` once into the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write ``df`` once into the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Its shuffle files go as soon as it is written: nothing reads them again.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", compression).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     for made in _scopes:
         made.append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -26,6 +26,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +37,7 @@ from tidemark.llm import store
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LENGTH, SHARD_ROWS, KEY = 512, 4096, 20240229
+WAVES = 4
 SHARDS_A_TASK, MAX_TASKS = 4, 20_000  # consecutive shards that a task writes; more of them where tasks would be too many
 CACHE = 400_000  # pieces of text kept per task
 SEQUENCES = "part int, idx long, doc_id long, piece int, n_tokens int, ids binary"
@@ -173,53 +175,38 @@ def feistel(x: np.ndarray, size: int, key: int, rounds: int = 6) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _packed(column: pa.Array) -> pa.Array:
-    import zstandard
+PLACED = ["slot", "shard", "byte_offset", "doc_id", "piece", "n_tokens", "ids"]
 
-    pack = zstandard.ZstdCompressor(level=1).compress
-    return pa.array([pack(x) for x in column.to_pylist()], pa.binary())
 
-
-def _unpacked(column: pa.Array) -> list[bytes]:
-    import zstandard
-
-    return [zstandard.ZstdDecompressor().decompress(x) for x in column.to_pylist()]
-
-
-PLACED = "slot long, shard long, byte_offset long, doc_id long, piece int, n_tokens int, ids binary"
-
-
-def materialise(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH, shard_rows: int = SHARD_ROWS, key: int = KEY) -> DataFrame:
-    """slot, shard, byte_offset, doc_id, piece, n_tokens and ids of each sequence; shards lie whole and sorted in partitions."""
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.set_column(b.schema.get_field_index("ids"), "ids", pa.array(_unpacked(b.column("ids")), pa.binary()))
-
-    return _placed(docs, vocabulary, length, shard_rows, key).mapInArrow(unpack, PLACED)
-
-
-def _placed(docs: DataFrame, vocabulary: str, length: int, shard_rows: int, key: int) -> DataFrame:
-    """:func:`materialise` with each sequence's ids compressed, as they are shuffled."""
-    spark = docs.sparkSession
+def _slotted(docs: DataFrame, vocabulary: str, length: int, shard_rows: int, key: int) -> tuple[DataFrame, int]:
+    """``PLACED`` of each sequence, where it was made, and the number of shards."""
     cut = store.table(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sequences(vocabulary, length), SEQUENCES), "sequences", "zstd")
     parts = sorted((r.part, r.n) for r in cut.groupBy("part").agg(F.count("*").alias("n")).collect())  # a row per task of the pass above
     total = sum(n for _, n in parts)
     first = np.zeros(max((p for p, _ in parts), default=0) + 1, dtype=np.int64)
     for (p, _), at in zip(parts, np.cumsum([0, *(n for _, n in parts)])[:-1], strict=True):
         first[p] = at
-    stride = 4 + 2 * length
-    shared = spark.sparkContext.broadcast(first)
+    shared = docs.sparkSession.sparkContext.broadcast(first)  # a number per task
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            slot = feistel(shared.value[b.column("part").to_numpy()] + b.column("idx").to_numpy(), total, key)
-            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(slot // shard_rows), pa.array(slot % shard_rows * stride), *(b.column(k) for k in ("doc_id", "piece", "n_tokens")), _packed(b.column("ids"))], names=["slot", "shard", "byte_offset", "doc_id", "piece", "n_tokens", "ids"])
+    @F.pandas_udf("long")
+    def slot(part: pd.Series, idx: pd.Series) -> pd.Series:
+        return pd.Series(feistel(shared.value[part.to_numpy()] + idx.to_numpy(), total, key))
+
+    out = cut.withColumn("slot", slot("part", "idx")).withColumn("shard", F.expr(f"slot div {shard_rows}"))
+    return out.withColumn("byte_offset", F.expr(f"slot % {shard_rows} * {4 + 2 * length}L")).select(*PLACED), -(-total // shard_rows)
 
-    out = cut.mapInArrow(place, PLACED)
-    shards = -(-total // shard_rows)
-    each = max(-(-shards // MAX_TASKS), SHARDS_A_TASK)
-    return out.repartitionById(max(1, -(-shards // each)), F.expr(f"cast(shard div {each} as int)")).sortWithinPartitions("slot")
+
+def _dealt(slotted: DataFrame, first: int, end: int) -> DataFrame:
+    """Shards ``first`` .. ``end - 1``, whole and in order, some consecutive ones in each partition."""
+    each = max(-(-(end - first) // MAX_TASKS), SHARDS_A_TASK)
+    some = slotted.filter(f"shard >= {first} and shard < {end}")
+    return some.repartitionById(max(1, -(-(end - first) // each)), F.expr(f"cast((shard - {first}) div {each} as int)")).sortWithinPartitions("slot")
+
+
+def materialise(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH, shard_rows: int = SHARD_ROWS, key: int = KEY) -> DataFrame:
+    """slot, shard, byte_offset, doc_id, piece, n_tokens and ids of each sequence; shards lie whole and sorted in partitions."""
+    slotted, shards = _slotted(docs, vocabulary, length, shard_rows, key)
+    return _dealt(slotted, 0, shards)
 
 
 def records(ids: list[bytes], length: int, end: int) -> list[bytes]:
@@ -256,18 +243,26 @@ DIGEST = "slot long, shard long, byte_offset long, doc_id long, piece int, n_tok
 def shard_files(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, length: int = LENGTH, shard_rows: int = SHARD_ROWS, key: int = KEY) -> DataFrame:
     """Materialise ``docs`` as shard files under ``path`` and read them back: the digest of each record as it lies in its file.
 
-    Token counts and CRC-32 come from the files; a record whose count isn't that of its sequence is an error.
+    Token counts and CRC-32 come from the files; a record whose count isn't that of its sequence is an error. Shards are
+    written in ``WAVES`` of equal numbers, so that no more than that part of the sequences lies in a shuffle at once.
     """
-    return _written(_placed(docs, vocabulary, length, shard_rows, key), path, vocabulary, length, _unpacked).select(*(x.split()[0] for x in DIGEST.split(", ")))
+    slotted, shards = _slotted(docs, vocabulary, length, shard_rows, key)
+    out = None
+    for w in range(WAVES):
+        first, end = shards * w // WAVES, shards * (w + 1) // WAVES
+        if first < end or (w == WAVES - 1 and out is None):
+            part = store.table(_written(_dealt(slotted, first, end), path, vocabulary, length), "digests")
+            out = part if out is None else out.unionByName(part)
+    return out
 
 
 def write_shards(placed: DataFrame, path: str, vocabulary: str = VOCABULARY, length: int = LENGTH) -> DataFrame:
     """Write ``shard-<number>.bin`` files under ``path`` (any URI that pyarrow opens); (shard, records, bytes) of each."""
-    out = _written(placed, path, vocabulary, length, lambda c: c.to_pylist())
+    out = _written(placed, path, vocabulary, length)
     return out.groupBy("shard").agg(F.count("*").alias("records"), (F.count("*") * (4 + 2 * length)).alias("bytes"))
 
 
-def _written(placed: DataFrame, path: str, vocabulary: str, length: int, plain) -> DataFrame:
+def _written(placed: DataFrame, path: str, vocabulary: str, length: int) -> DataFrame:
     """Writes each shard under a name of its own, moves it into place and reads it back, so a task that is run again after a lost
     executor replaces it by the same bytes. One shard at a time is in memory."""
     stride, names = 4 + 2 * length, ["slot", "shard", "byte_offset", "doc_id", "piece", "n_tokens", "record_crc32"]
@@ -295,7 +290,7 @@ def _written(placed: DataFrame, path: str, vocabulary: str, length: int, plain)
             return pa.RecordBatch.from_arrays([*cols, pa.array(crc, pa.int64())], names=names)
 
         for b in batches:
-            ids, shards = plain(b.column("ids")), b.column("shard").to_numpy()
+            ids, shards = b.column("ids").to_pylist(), b.column("shard").to_numpy()
             slim = b.select(names[:-1])
             begin = np.flatnonzero(np.concatenate([[True], shards[1:] != shards[:-1]])) if len(shards) else []
             for i, j in zip(begin, [*begin[1:], len(shards)]):
