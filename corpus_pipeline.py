@@ -61,11 +61,13 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and slot of each document.
+    """Shard and slot of each document: each shard is a mix as the whole is, and its slots are in the order of the mix.
 
-    A null text has size 8 and no links; repeated rows keep one row each; a null doc_id is kept; other columns are not read.
+    Documents of a source are dealt to the shards in turn, in the order in which the mix was written, but those of equal texts go
+    to one shard. A null text has size 8 and no links; a null source is a source of its own; repeated rows keep one row each; a null
+    doc_id is kept; other columns are not read.
     """
-    return sharding.assign(docs).drop("group")
+    return sharding.assign(docs, kind="source").drop("group")
 
 
 STAGES = [

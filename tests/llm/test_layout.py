@@ -8,6 +8,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm import util
 from tidemark.llm import conversations, mixing, sharding, tokens
@@ -336,3 +337,36 @@ def test_registered_query_on_planted_quotes_equals_its_sql(spark, tmp_path):
         votes = Counter(max((s for s in wrote[c].get(x, []) if s < t), default=None) for x in asked)
         votes.pop(None, None)
         assert parent[c, t] == (max(votes, key=lambda s: (votes[s], s)) if votes else None)
+
+
+@pytest.mark.parametrize("groups", [0, 60])
+def test_shards_follow_the_order_in_which_files_were_written(spark, tmp_path, groups):
+    """Three sources in blocks of eight, where 24 shards dealt by row number would get one source each; some texts are linked."""
+    rows = [(i, f"group {i % groups}" if groups and i % 10 == 0 else f"text {i} " + "x" * (i // 4), f"s{i // 8 % 3}" if i // 8 % 3 else None) for i in range(2880)]
+    df = util.docs(spark, rows).withColumn("_metadata", F.lit("own"))
+    df.repartitionByRange(7, "doc_id").sortWithinPartitions("doc_id").write.parquet(f"{tmp_path}/mixed")
+    docs = spark.read.parquet(f"{tmp_path}/mixed")
+    read = [r.doc_id for r in docs.withColumn("rid", F.monotonically_increasing_id()).orderBy("rid").collect()]
+    assert read != sorted(read)  # larger files come first
+    for given in (docs, docs.orderBy("doc_id")):
+        got = sorted(sharding.assign(given, kind="source").collect(), key=lambda r: r.slot)
+        assert not check_shards(got, [r[:2] for r in rows], 24)
+        shards = [[r.doc_id for r in got if r.shard == b] for b in range(24)]
+        assert all(ids == sorted(ids) for ids in shards)
+        alone = lambda i: not groups or i % 10 != 0
+        room = [sum(map(alone, ids)) for ids in shards]  # what a shard's links leave
+        for upto in (600, 1440, 2880):
+            for source in range(3):
+                fits = lambda i: i < upto and i // 8 % 3 == source and alone(i)  # noqa: B023, E731
+                share = sum(map(fits, range(2880))) / sum(room)
+                assert all(abs(sum(map(fits, ids)) - share * r) < 2 for ids, r in zip(shards, room, strict=True)), (upto, source)
+
+
+@pytest.mark.parametrize("room", [[5000, 0, 7000, 3001], [3] * 24, [4001, 4000, 4000], [0, 0], [7]])
+def test_rows_are_dealt_evenly_and_as_many_as_there_is_room(spark, room):
+    got = [r.b for r in spark.range(0, sum(room), 1, 1).selectExpr(f"{sharding._dealt(room, 'id')} as b").collect()]
+    assert [got.count(b) for b in range(len(room))] == room
+    had = [0] * len(room)
+    for n, b in enumerate(got, 1):
+        had[b] += 1
+        assert all(abs(h - n * r / sum(room)) <= 4 for h, r in zip(had, room, strict=True))

@@ -36,3 +36,8 @@ def bucket(key: Column, rows: int) -> Column:
     So a task of :func:`before` sorts about the root of ``rows``: rows of a bucket, or totals of buckets.
     """
     return F.pmod(F.xxhash64(key), F.lit(max(1, rows // max(500, isqrt(rows))))).cast("int")
+
+
+def stretch(place: str, rows: int) -> Column:
+    """Bucket of consecutive places (a struct as of :func:`tidemark.llm.store.place`), with as many rows at most as :func:`bucket` has."""
+    return F.struct(f"{place}.part", f"{place}.piece", f"{place}.file", F.expr(f"{place}.row div {max(500, isqrt(rows))}").alias("stretch"))

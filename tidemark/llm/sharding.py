@@ -25,18 +25,25 @@ nor a shard meets in one task. Only DataFrame functions are used.
 Defined results: a null text has size 8, CRC 0 and no links; empty texts are linked with each other;
 repeated rows are linked like any equal texts and keep one row each; a null ``doc_id`` is kept as null;
 an empty table gives no rows. Other columns are not read.
+
+Given ``kind``, the order in which the rows were written (:func:`tidemark.llm.store.place`) counts, as it does for a mix:
+rows without links are dealt to the shards kind by kind, in that order, so each shard gets of any stretch of the rows its
+share of each kind, and slots follow that order. Without it, shards and slots of such rows are hashed. Linked rows go where
+their group goes, in either case.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm import scale, store
+from tidemark.llm import mixing, scale, store
 
 SHARDS = 24
+PERIOD = 4096  # rows after which the dealing of rows to shards is repeated
 ROUNDS = 24  # each cuts fewer links than the one before; most graphs need three or four
 KEY = ["group", "text_crc32", "size"]
 
@@ -51,6 +58,27 @@ def _pick(ends: list[int], at: str) -> Column:
     return F.expr("case " + " ".join(f"when {at} < {e}L then {b}" for b, e in enumerate(ends[:-1])) + f" else {len(ends) - 1} end") if len(ends) > 1 else F.lit(0)
 
 
+def _dealt(room: list[int], at: str) -> str:
+    """The shard of row ``at`` of a line that is dealt evenly along it: in turn, if all have the same room, and to each as many as it has."""
+    times = max(1, sum(room) // max(PERIOD, 8 * len(room)))
+    each = [r // times for r in room]
+    turns = mixing.schedule(dict(enumerate(each)))
+    if not turns:
+        return "0"
+    then, n = [r - times * e for r, e in zip(room, each, strict=True)], times * len(turns)
+    here = f"element_at(array({', '.join(map(str, turns))}), cast({at} % {len(turns)} as int) + 1)"
+    return f"case when {at} < {n}L then {here} else {_dealt(then, f'({at} - {n}L)')} end" if any(then) else here
+
+
+def _in_turn(rest: DataFrame, room: list[int], rows: int) -> DataFrame:
+    """``rest`` with ``shard``: rows of a kind, in the order of their places, are dealt in turn, and those of the next kind go on from there."""
+    ranked = scale.before(rest.withColumn("_bucket", scale.stretch("place", rows)), ["kind"], ["_bucket"], [F.col("place.row")], F.lit(1), "_rank")
+    sizes = rest.groupBy("kind").count().orderBy("kind").collect()  # a row per kind, as a mix has a table of its sources
+    first = list(zip((r.kind for r in sizes), accumulate((r["count"] for r in sizes), initial=0), strict=False))
+    line = ranked.join(rest.sparkSession.createDataFrame(first, "kind long, _first long"), "kind").withColumn("_rank", F.col("_first") + F.col("_rank"))
+    return line.withColumn("shard", F.expr(_dealt(room, "_rank")))
+
+
 def _ends(room: list[int]) -> list[int]:
     return [sum(room[: b + 1]) for b in range(len(room))]
 
@@ -214,9 +242,13 @@ def propagate(cells: DataFrame, room: list[int], rows: int, rounds: int = ROUNDS
     return [*done, open_], room
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, report: Callable[[int, int], None] | None = None) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard and group (hash of linked texts) of each row."""
+def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, report: Callable[[int, int], None] | None = None, kind: str | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard and group (hash of linked texts) of each row.
+
+    ``kind`` names a column of ``docs``: shards then hold its values in even shares, and slots are in the order of the rows.
+    """
     text = F.col("text")
+    along = [F.xxhash64(F.col(f"`{kind}`").isNull(), f"`{kind}`").alias("kind"), store.place(docs).alias("place")] if kind else []
     slim = store.table(
         docs.select(
             F.col("doc_id").cast("long"),
@@ -224,6 +256,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, report:
             F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
             F.when(text.isNotNull(), F.xxhash64(text)).alias("group"),
             F.monotonically_increasing_id().alias("rid"),
+            *along,
         ), "slim")
     total = slim.count()
     quota = [total // shards + (b < total % shards) for b in range(shards)]
@@ -260,12 +293,17 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, report:
     cut = scale.before(cut, KEY, ["_part"], [F.col("rid")], F.lit(1), "_rank")
     upto = lambda x: F.aggregate(F.filter("labels", lambda y: y.shard <= x.shard), F.lit(0).cast("long"), lambda s, y: s + y.here)
     cut = cut.withColumn("shard", F.filter("labels", lambda x: upto(x) > F.col("_rank"))[0]["shard"])
-    rest = placed.filter("labels is null").withColumn("_all", F.lit(0)).withColumn("_bucket", scale.bucket(F.col("rid"), total))
-    rest = scale.before(rest, ["_all"], ["_bucket"], [F.col("rid")], F.lit(1), "_rank").withColumn("shard", _pick(_ends(room), "_rank"))
-    cols = ["doc_id", "size", "text_crc32", "group", "rid", "shard"]
+    rest = placed.filter("labels is null")
+    if kind:
+        rest = _in_turn(rest, room, total)
+    else:
+        rest = rest.withColumn("_all", F.lit(0)).withColumn("_bucket", scale.bucket(F.col("rid"), total))
+        rest = scale.before(rest, ["_all"], ["_bucket"], [F.col("rid")], F.lit(1), "_rank").withColumn("shard", _pick(_ends(room), "_rank"))
+    cols = ["doc_id", "size", "text_crc32", "group", "rid", "shard", *(["place"] if kind else [])]
     both = one.select(*cols).unionByName(cut.select(*cols)).unionByName(rest.select(*cols))
-    both = both.withColumn("_bucket", scale.bucket(F.struct(F.lit(1), "rid"), total))  # other buckets than those that chose the shards
-    out = scale.before(store.table(both, "sharded"), ["shard"], ["_bucket"], [F.col("rid")], F.lit(1), "slot")
+    # other buckets than those that chose the shards
+    both = both.withColumn("_bucket", scale.stretch("place", total) if kind else scale.bucket(F.struct(F.lit(1), "rid"), total))
+    out = scale.before(store.table(both, "sharded"), ["shard"], ["_bucket"], [F.col("place.row" if kind else "rid")], F.lit(1), "slot")
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"),
         F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "group")
