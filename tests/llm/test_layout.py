@@ -207,6 +207,36 @@ def test_shards_round_trip(spark, tmp_path):
     assert tokens.materialise(util.docs(spark, [])).count() == 0
 
 
+def test_pieces_kept_by_a_token_worker_are_few_bytes(monkeypatch):
+    import tracemalloc
+
+    e, rng = tokens.Encoder(), random.Random(8)
+    e.batch(pa.array(["some words to begin with"]))
+    tracemalloc.start()
+    for _ in range(12):
+        e.batch(pa.array([" ".join(f"{rng.getrandbits(40):x}" for _ in range(10_000))]))
+    assert tracemalloc.get_traced_memory()[0] < 8e6  # 12e4 pieces of some six ids
+    tracemalloc.stop()
+    # few, but long
+    monkeypatch.setattr(tokens, "CACHE_IDS", 50_000)
+    texts = ["-".join(f"{rng.getrandbits(40):x}" for _ in range(2000)) for _ in range(9)]
+    for t in [*texts, *texts]:
+        ids, _ = e.batch(pa.array([t]))
+        assert ids.tolist() == [*e.encoding.encode_ordinary(t), e.end]
+        assert len(e.ids) <= 50_000
+    monkeypatch.setattr(tokens, "CACHE", 100)
+    for t in [" ".join(f"w{rng.randrange(150)}" for _ in range(90)) for _ in range(20)]:
+        ids, _ = e.batch(pa.array([t, t[3:]]))
+        assert ids.tolist() == [*e.encoding.encode_ordinary(t), e.end, *e.encoding.encode_ordinary(t[3:]), e.end] and len(e.keys) <= 100
+
+
+def test_slots_of_a_wave_are_found_by_one_python_worker_a_task(spark):
+    slotted, shards = tokens._slotted(util.docs(spark, [(i, f"text {i}") for i in range(90)]), tokens.VOCABULARY, 32, 10, 5)
+    some = tokens._dealt(slotted, 2, 6)
+    assert some._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted(r.slot for r in some.select("slot").collect()) == list(range(20, 60)) and shards == 9
+
+
 CHAT = [
     (1, 0, "a", "Hello there my friend.\nHow are you today?"), (1, 1, "b", "On Monday, A wrote:\n> How are you today?\nFine thanks a lot."),
     (1, 2, "c", "> > How are you today?\n> Fine thanks a lot.\nGood to hear it."), (1, 3, "a", "> hello THERE my friend\nreply to first"),

@@ -39,7 +39,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 LENGTH, SHARD_ROWS, KEY = 512, 4096, 20240229
 WAVES = 4
 SHARDS_A_TASK, MAX_TASKS = 4, 20_000  # consecutive shards that a task writes; more of them where tasks would be too many
-CACHE = 400_000  # pieces of text kept per task
+CACHE, CACHE_IDS = 400_000, 8_000_000  # pieces of text kept per task, and their ids: 26 MB at most, and a batch more
 SEQUENCES = "part int, idx long, doc_id long, piece int, n_tokens int, ids binary"
 _WHITE = K.SPACE.copy()
 _WHITE[0x1C:0x20] = True  # blanks for the pattern, not for words
@@ -79,30 +79,55 @@ def _encoding(vocabulary: str):
 
 
 class Encoder:
-    """Ids of batches of texts; pieces seen before come from a bounded cache."""
+    """Ids of batches of texts; pieces seen before come from a bounded cache.
+
+    The cache is four arrays: an object for each piece would take some ten times as much in every worker.
+    """
 
     def __init__(self, vocabulary: str = VOCABULARY):
         self.encoding, self.end = _encoding(vocabulary)
         if self.end > 0xFFFF:
             raise ValueError("records hold ids of 16 bits")
         self.lens = np.array([len(self.encoding.decode_single_token_bytes(i)) for i in range(self.end)])
-        self.known: dict[int, bytes] = {}
-
-    def _encode(self, texts: list[bytes]) -> list[bytes]:
-        """Each piece; those that begin with one space are encoded at one go."""
-        out = [b""] * len(texts)
-        spaced = [i for i, x in enumerate(texts) if x[:1] == b" " and len(x) > 1 and not _UNSAFE[x[1]]]
-        alone = set(range(len(texts))) - set(spaced)
-        for i in alone:
-            out[i] = np.array(self.encoding.encode_ordinary(texts[i].decode()), dtype=np.uint16).tobytes()
-        if spaced:
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys = np.zeros(0, dtype=np.uint64)  # hashes of the known pieces, ascending
+        self.at, self.size = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)  # where their ids lie
+        self.ids = np.zeros(0, dtype=np.uint16)
+
+    def _encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the ids of each piece lie, their number, and all ids; pieces that begin with one space are encoded at one go."""
+        at, size = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
+        is_spaced = np.array([x[:1] == b" " and len(x) > 1 and not _UNSAFE[x[1]] for x in texts], dtype=bool)
+        spaced, found, begin = np.flatnonzero(is_spaced), [np.zeros(0, dtype=np.uint16)], 0
+        if len(spaced):
             ids = np.array(self.encoding.encode_ordinary(b"".join(texts[i] for i in spaced).decode()), dtype=np.uint16)
             ends = np.searchsorted(np.cumsum(self.lens[ids]), np.cumsum([len(texts[i]) for i in spaced])) + 1
-            begin = 0
-            for i, e in zip(spaced, ends.tolist(), strict=True):
-                out[i] = ids[begin:e].tobytes()
-                begin = e
-        return out
+            at[spaced] = np.append(0, ends[:-1])
+            size[spaced] = np.diff(ends, prepend=0)
+            found.append(ids)
+            begin = len(ids)
+        for i in np.flatnonzero(~is_spaced):
+            ids = np.array(self.encoding.encode_ordinary(texts[i].decode()), dtype=np.uint16)
+            at[i], size[i] = begin, len(ids)
+            found.append(ids)
+            begin += len(ids)
+        return at, size, np.concatenate(found)
+
+    def _lookup(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The place in the cache of each piece of ascending hashes; those that aren't there are put in."""
+        to = np.searchsorted(self.keys, keys)
+        new = np.append(self.keys, np.uint64(0))[to] != keys
+        new[to == len(self.keys)] = True
+        if len(self.keys) + new.sum() > CACHE:
+            self._forget()
+            to, new = np.zeros(len(keys), dtype=np.int64), np.ones(len(keys), dtype=bool)
+        raw = data.tobytes()
+        at, size, ids = self._encode([raw[i:j] for i, j in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+        self.keys, self.at, self.size = (np.insert(a, to[new], b) for a, b in ((self.keys, keys[new]), (self.at, at + len(self.ids)), (self.size, size)))
+        self.ids = np.concatenate([self.ids, ids])
+        return to + np.cumsum(new) - new
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids with an end mark after each text, and the first of each text and the end."""
@@ -113,22 +138,14 @@ class Encoder:
         if not len(starts):
             return np.full(n, self.end, dtype=np.uint16), np.arange(n + 1)
         uniq, at, inverse = np.unique(K.hash_spans(data, starts, ends), return_index=True, return_inverse=True)
-        keys = uniq.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.known]
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            new = list(range(len(keys)))
-        raw = [data[starts[at[i]] : ends[at[i]]].tobytes() for i in new]
-        self.known.update(zip([keys[i] for i in new], self._encode(raw), strict=True))
-        got = [self.known[k] for k in keys]
-        lens = np.array([len(x) for x in got]) // 2
-        flat = np.frombuffer(b"".join(got), dtype=np.uint16)
-        first = np.cumsum(lens) - lens
-        size = lens[inverse]
-        where = np.repeat(first[inverse] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        ids = flat[where]
+        piece = self._lookup(uniq, data, starts[at], ends[at])[inverse]
+        size = self.size[piece]
+        where = np.repeat(self.at[piece] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        ids = self.ids[where]
         per_text = K.per_text(size, np.searchsorted(starts, offsets))
         bounds = np.concatenate([[0], np.cumsum(per_text)])
+        if len(self.keys) > CACHE or len(self.ids) > CACHE_IDS:
+            self._forget()
         return np.insert(ids, bounds[1:], self.end), bounds + np.arange(n + 1)
 
 
@@ -188,11 +205,12 @@ def _slotted(docs: DataFrame, vocabulary: str, length: int, shard_rows: int, key
         first[p] = at
     shared = docs.sparkSession.sparkContext.broadcast(first)  # a number per task
 
+    # told to be non-deterministic, which it isn't: else filters on shards copy it, and every task has a second Python worker to find slots again
     @F.pandas_udf("long")
     def slot(part: pd.Series, idx: pd.Series) -> pd.Series:
         return pd.Series(feistel(shared.value[part.to_numpy()] + idx.to_numpy(), total, key))
 
-    out = cut.withColumn("slot", slot("part", "idx")).withColumn("shard", F.expr(f"slot div {shard_rows}"))
+    out = cut.withColumn("slot", slot.asNondeterministic()("part", "idx")).withColumn("shard", F.expr(f"slot div {shard_rows}"))
     return out.withColumn("byte_offset", F.expr(f"slot % {shard_rows} * {4 + 2 * length}L")).select(*PLACED), -(-total // shard_rows)
 
 
