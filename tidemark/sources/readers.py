@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,10 +18,23 @@ def instant(text: Column) -> Column:
     return F.when(text.rlike(_OFFSET), F.to_timestamp(text)).when(text.isNotNull(), F.raise_error(F.concat(F.lit("time without offset: "), text)).cast("timestamp"))
 
 
+def _in_order(raw: DataFrame) -> DataFrame:
+    """``raw`` with ``seq``, the rows' order in the file, or in several files by name (numbers in names count as such)."""
+    read, files = F.monotonically_increasing_id(), raw.inputFiles()
+    if len(files) < 2:
+        return raw.withColumn("seq", read)
+    # files are read by size, several to a task; each is one task's, as fields may hold line breaks
+    number = lambda path: [int(x) if k % 2 else x for k, x in enumerate(re.split(r"(\d+)", path))]
+    ranks = raw.sparkSession.createDataFrame(list(enumerate(sorted(files, key=number))), "_rank long, _file string")  # a row per file
+    placed = raw.withColumns({"_file": F.input_file_name(), "_row": read.bitwiseAND(F.lit((1 << 33) - 1))}).join(F.broadcast(ranks), "_file", "left")
+    known = F.coalesce("_rank", F.raise_error(F.concat(F.lit("file not listed: "), F.col("_file"))).cast("long"))
+    return placed.withColumn("seq", F.shiftleft(known, 33) + F.col("_row")).drop("_file", "_row", "_rank")
+
+
 def headlines(spark: SparkSession, path: str) -> DataFrame:
-    """Headline corpus (CSV) with ``seq``, the rows' order in the file."""
-    raw = spark.read.options(**_CSV).schema(schema.HEADLINE_RAW).csv(path)
-    return raw.withColumns({"published_at": instant(F.col("published_at")), "scraped_at": instant(F.col("scraped_at")), "seq": F.monotonically_increasing_id()})
+    """Headline corpus (CSV, a file or a directory) with ``seq``, the rows' order."""
+    raw = _in_order(spark.read.options(**_CSV).schema(schema.HEADLINE_RAW).csv(path))
+    return raw.withColumns({"published_at": instant(F.col("published_at")), "scraped_at": instant(F.col("scraped_at"))}).select(*raw.columns)
 
 
 def bars(spark: SparkSession, path: str) -> DataFrame:

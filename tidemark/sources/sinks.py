@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import schema
 from tidemark.operators import corpus
 
+FILE_ROWS = 1 << 18
 _STAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 
@@ -15,12 +16,15 @@ def _stamped(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.date_format(c, _STAMP) for c, t in df.dtypes if t == "timestamp"})
 
 
-def csv(df: DataFrame, path: str, columns: tuple[str, ...] | None = None, order: list[str | Column] | None = None, one_file: bool = True) -> None:
-    """CSV with header and stated columns. ``one_file`` is for exchange files of a size one reader wants."""
+def csv(df: DataFrame, path: str, columns: tuple[str, ...] | None = None, order: list[str | Column] | None = None, one_file: bool = False) -> None:
+    """CSV with header and stated columns, in files of at most ``FILE_ROWS`` rows; by name and row they are in ``order``, or that of ``df``.
+
+    Readers can't split a file whose fields may hold line breaks, so it is one task's. ``one_file`` is for exchange files of a size one reader wants.
+    """
     out = df.orderBy(*order) if order else df
     out = _stamped(out.select(*(columns or out.columns)))
     out = out.coalesce(1) if one_file else out
-    out.write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
+    out.write.mode("overwrite").option("header", "true").option("escape", '"').option("maxRecordsPerFile", 0 if one_file else FILE_ROWS).csv(path)
 
 
 def headlines(df: DataFrame, path: str) -> None:
