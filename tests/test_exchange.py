@@ -40,3 +40,14 @@ def test_rows_of_several_files_are_by_name_and_row(spark, tmp_path):
         (tmp_path / f"h{n}.csv").write_text("source,title,link,published_at,published_raw,scraped_at\n" + rows)
     got = [r.title for r in readers.headlines(spark, str(tmp_path)).orderBy("seq").collect()]
     assert got == [f"{n} {k}\nmore" for n in (1, 9, 10, 100) for k in range(n)]
+
+
+@pytest.mark.parametrize("model", [True])
+def test_scored_headlines_are_files_of_bounded_size(spark, few, tmp_path, model):
+    names = ("positive", "negative", "neutral") if model else ("neg", "neu", "pos")
+    rows = _many(spark).select("seq", "source", "title", "link", "published_at", *(F.lit(k / 4).alias(n) for k, n in enumerate(names)), F.lit(0.5).alias("compound"), F.lit("neutral").alias("label"))
+    sinks.scored(rows, f"{tmp_path}/s")
+    sizes = _sizes(f"{tmp_path}/s")
+    assert len(sizes) > 9 and max(sizes) <= 10 and sum(sizes) == 95
+    back = readers.scored(spark, f"{tmp_path}/s", model)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.drop("seq").collect()))
