@@ -42,7 +42,7 @@ def test_rows_of_several_files_are_by_name_and_row(spark, tmp_path):
     assert got == [f"{n} {k}\nmore" for n in (1, 9, 10, 100) for k in range(n)]
 
 
-@pytest.mark.parametrize("model", [True])
+@pytest.mark.parametrize("model", [True, False])
 def test_scored_headlines_are_files_of_bounded_size(spark, few, tmp_path, model):
     names = ("positive", "negative", "neutral") if model else ("neg", "neu", "pos")
     rows = _many(spark).select("seq", "source", "title", "link", "published_at", *(F.lit(k / 4).alias(n) for k, n in enumerate(names)), F.lit(0.5).alias("compound"), F.lit("neutral").alias("label"))
