@@ -56,8 +56,10 @@ def usable(fact: DataFrame, two_day: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def registered_test(rows: DataFrame, score: Callable[[Column], Column] | None = None, scorer: str = "lexicon", **minima: int) -> tuple[DataFrame, DataFrame | None]:
     """(gate, statistic): only if the gate is met are titles scored, returns demeaned by session and r with interval found."""
-    status = gate(rows, **minima)
-    if not status.first().met:
+    found = gate(rows, **minima)
+    got = found.first()
+    status = rows.sparkSession.createDataFrame([got], found.schema)  # one row, which is known now
+    if not got.met:
         return status, None
     scored = rows.withColumn("compound", (score or (lambda t: scoring.scorer(scorer)(t).compound))(F.col("title")))
     return status, stats.with_ci(demeaned(scored, "ar01"), "compound", "demeaned")

@@ -171,10 +171,8 @@ def q_fact_build(spark, d):
 @query
 def q_registered_run(spark, d):
     """The registered test with its gate, which is met; titles are scored only then."""
-    from tidemark.plans.queries import _events
-
     b = price_bars(spark, d)
-    rows = priced(spark, d).join(eventstudy.two_day(_events(spark, d), b, bars.proxy_returns(b)).withColumnRenamed("event_id", "seq"), "seq").filter("ar01 is not null")
+    rows = eventstudy.with_two_day(priced(spark, d), b, bars.proxy_returns(b))
     gate, stat = quality.registered_test(rows, lambda t: F.length(t) / 100.0, headlines=100, sessions=5, sources=3)
     out = stat.crossJoin(F.broadcast(gate.select("met")))  # one row each
     return out.select("met", "n", *(F.round(c, 7).alias(c) for c in ("r", "ci_low", "ci_high")))
